@@ -1,0 +1,85 @@
+"""Percentiles by cumulative frequencies, with a stated error and mergeable parts.
+
+A value v is replaced by the middle of its cell; cells are `step` wide (absolute error at most step/2) or grow with |v|
+(relative error at most `relative`). Cells are in order, so the p-th value of the cells is the cell of the p-th value: the
+error bound holds for every percentile. What a partition, snapshot or day leaves behind is its (group, cell, count)
+table; tables are combined by adding counts, and nothing is lost by that.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Cells of one block of the range-sort; a group has at most cells/BLOCK blocks.
+BLOCK = 256
+TINY = 1e-9
+
+
+def cell_of(value: Column, step: float | None = None, relative: float | None = None) -> Column:
+    """The cell's number, which grows with the value; null for null and NaN. Infinities get the outermost cells."""
+    if (step is None) == (relative is None):
+        raise ValueError("give either step or relative")
+    v = F.when(~F.isnan(value), value.cast("double"))
+    if step is not None:
+        return F.when(F.abs(v) < 9e17 * step, F.round(v / F.lit(step)).cast("long")).when(v > 0, F.lit(2**62)).otherwise(F.when(v.isNotNull(), F.lit(-(2**62))))
+    base = math.log1p(2 * relative / (1 - relative))
+    size = F.least(F.abs(v), F.lit(1.7e308))
+    k = F.ceil(F.ln(F.greatest(size, F.lit(TINY)) / F.lit(TINY)) / F.lit(base)).cast("long") + 1
+    return F.when(v.isNull(), F.lit(None).cast("long")).when(F.abs(v) < TINY, F.lit(0).cast("long")).when(v > 0, k).otherwise(-k)
+
+
+def value_of(cell: Column, step: float | None = None, relative: float | None = None) -> Column:
+    """The value that stands for a cell."""
+    if step is not None:
+        return cell * F.lit(float(step))
+    base = math.log1p(2 * relative / (1 - relative))
+    top = F.exp((F.abs(cell) - 1) * F.lit(base)) * F.lit(TINY)
+    return F.when(cell == 0, F.lit(0.0)).otherwise(F.signum(cell.cast("double")) * top * F.lit(1 - relative))
+
+
+def value_counts(df: DataFrame, groups: list[str], value: Column, step: float | None = None, relative: float | None = None) -> DataFrame:
+    """(groups, cell, n): the mergeable part. Counts are combined before the shuffle, and a hot group spreads over its cells.
+
+    Rows without a value (null, NaN) don't count; null groups are a group. Repeated rows count each time: remove repeats
+    first where they are no observations. An empty input gives an empty table.
+    """
+    return df.select(*groups, cell_of(value, step, relative).alias("cell")).where(F.col("cell").isNotNull()).groupBy(*groups, "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_counts(*parts: DataFrame, groups: list[str]) -> DataFrame:
+    """Parts of several days, partitions or finer groups as one part."""
+    whole = parts[0].select(*groups, "cell", "n")
+    for p in parts[1:]:
+        whole = whole.unionByName(p.select(*groups, "cell", "n"))
+    return whole.groupBy(*groups, "cell").agg(F.sum("n").alias("n"))
+
+
+def percentiles(counts: DataFrame, groups: list[str], shares: list[float], step: float | None = None, relative: float | None = None) -> DataFrame:
+    """(groups, p, value, n) from a table of value_counts.
+
+    Cells are range-sorted: a block holds BLOCK neighbouring cells of a group, running sums are taken inside a block,
+    and the block's offset (the sum of the blocks before it, from the far smaller table of block totals) is added. The
+    value of p is the first cell whose cumulated count reaches max(1, ceil(p*n)). n is the number of values.
+    """
+    if any(not 0 <= p <= 1 for p in shares) or not shares:
+        raise ValueError("shares must lie in [0, 1]")
+    names = [f"_g{i}" for i in range(len(groups))]
+    c = counts.select(*[F.col(g).alias(a) for g, a in zip(groups, names)], "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block"))
+    totals = c.groupBy(*names, "_block").agg(F.sum("n").alias("_t"))
+    ordered = Window.partitionBy(*names).orderBy("_block")
+    offsets = totals.select(
+        *[F.col(a).alias(f"{a}o") for a in names], F.col("_block").alias("_blocko"),
+        F.coalesce(F.sum("_t").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.sum("_t").over(Window.partitionBy(*names)).alias("_all"),
+    )
+    inner = Window.partitionBy(*names, "_block").orderBy("cell")
+    running = c.withColumn("_run", F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    on = [F.col(a).eqNullSafe(F.col(f"{a}o")) for a in names] + [F.col("_block") == F.col("_blocko")]
+    cum = running.join(offsets, on).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_all") - F.lit(1e-9)))
+    hits = F.filter(F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("r")) for p in shares]), lambda x: (x["r"] > F.col("_from")) & (x["r"] <= F.col("_to")))
+    picked = cum.withColumn("_hit", F.explode(hits))
+    return picked.select(*[F.col(a).alias(g) for a, g in zip(names, groups)], F.col("_hit.p").alias("p"), value_of(F.col("cell"), step, relative).alias("value"), F.col("_all").alias("n"))
