@@ -62,24 +62,28 @@ def percentiles(counts: DataFrame, groups: list[str], shares: list[float], step:
 
     Cells are range-sorted: a block holds BLOCK neighbouring cells of a group, running sums are taken inside a block,
     and the block's offset (the sum of the blocks before it, from the far smaller table of block totals) is added. The
-    value of p is the first cell whose cumulated count reaches max(1, ceil(p*n)). n is the number of values.
+    value of p is the first cell whose cumulated count reaches max(1, ceil(p*n)). n is the number of values. counts has each
+    (groups, cell) once, as value_counts and merge_counts give it. One shuffle serves the sums, the windows and the join.
     """
     if any(not 0 <= p <= 1 for p in shares) or not shares:
         raise ValueError("shares must lie in [0, 1]")
-    names = [f"_g{i}" for i in range(len(groups))]
-    c = counts.select(*[F.col(g).alias(a) for g, a in zip(groups, names)], "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block"))
+    # null-safe keys as pairs of a plain value and a mark, so that sums, windows and the join share one partitioning
+    names = [n for i in range(len(groups)) for n in (f"_g{i}", f"_null{i}")]
+    plain = lambda g: F.coalesce(F.col(g), F.lit("" if dict(counts.dtypes)[g] == "string" else 0).cast(counts.schema[g].dataType))
+    keys = [c for i, g in enumerate(groups) for c in (plain(g).alias(f"_g{i}"), F.col(g).isNull().alias(f"_null{i}"))]
+    c = counts.select(*keys, "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block")).repartition(*names, "_block")
     totals = c.groupBy(*names, "_block").agg(F.sum("n").alias("_t"))
     ordered = Window.partitionBy(*names).orderBy("_block")
     offsets = totals.select(
-        *[F.col(a).alias(f"{a}o") for a in names], F.col("_block").alias("_blocko"),
+        *names, "_block",
         F.coalesce(F.sum("_t").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.sum("_t").over(Window.partitionBy(*names)).alias("_all"),
     )
     inner = Window.partitionBy(*names, "_block").orderBy("cell")
     running = c.withColumn("_run", F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    on = [F.col(a).eqNullSafe(F.col(f"{a}o")) for a in names] + [F.col("_block") == F.col("_blocko")]
-    cum = running.join(offsets, on).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
+    cum = running.join(offsets, [*names, "_block"]).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
     rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_all") - F.lit(1e-9)))
     hits = F.filter(F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("r")) for p in shares]), lambda x: (x["r"] > F.col("_from")) & (x["r"] <= F.col("_to")))
     picked = cum.withColumn("_hit", F.explode(hits))
-    return picked.select(*[F.col(a).alias(g) for a, g in zip(names, groups)], F.col("_hit.p").alias("p"), value_of(F.col("cell"), step, relative).alias("value"), F.col("_all").alias("n"))
+    back = [F.when(~F.col(f"_null{i}"), F.col(f"_g{i}")).alias(g) for i, g in enumerate(groups)]
+    return picked.select(*back, F.col("_hit.p").alias("p"), value_of(F.col("cell"), step, relative).alias("value"), F.col("_all").alias("n"))

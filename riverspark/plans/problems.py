@@ -63,13 +63,12 @@ def p1_basin_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per basin and year, and per continent and year; coarser groups are merged from the finer parts."""
+    """Percentiles per basin and year, and per continent and year."""
     dof, units = dof_rows(spark, d), unit_rows(spark, d).withColumnRenamed("stat_year", "snap_year")
     out = None
     for name, rows, error in (("hdi_ix_sav", units, {"step": HDI_STEP}), ("dof_all", dof, {"step": DOF_STEP}), ("dis_av_cms", dof, {"relative": DIS_RELATIVE})):
-        fine = value_counts(rows, ["hybas_id", "continent", "snap_year"], F.col(name), **error)
         for by in ("hybas_id", "continent"):
-            part = merge_counts(fine, groups=[by, "snap_year"])
+            part = value_counts(rows, [by, "snap_year"], F.col(name), **error)
             p = percentiles(part, [by, "snap_year"], SHARES, **error)
             one = p.select(F.lit(name).alias("measure"), F.lit(by).alias("grouped_by"), F.col(by).cast("string").alias("group_id"), "snap_year", "p", F.round("value", 6).alias("value"), "n")
             out = one if out is None else out.unionByName(one)
