@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riverspark.session import cut
 
-CYCLE, BLOCK_TOKENS, MAX_SOURCES = 10_000, 4_096, 5_000
+CYCLE, BLOCK_TOKENS, MAX_SOURCES = 10_000, 1_024, 5_000
 #: Documents of a source in one range of the order, about.
 RANGE_DOCS = 4_096
 _encodings: dict[str, object] = {}
