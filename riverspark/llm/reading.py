@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riverspark.llm.text import clean, pieces
+from riverspark.session import cut
 
 #: Cut-offs of the nested lists: share of the English documents that hold the word. The lowest bounds the list's size.
 CUTOFFS = (0.003, 0.006, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.065, 0.08, 0.095, 0.11, 0.125, 0.14, 0.16, 0.18, 0.2, 0.23, 0.27, 0.32, 0.4, 0.6)
@@ -56,6 +57,7 @@ class Lexicon(dict):
         self.band: list[int] = [-1, -1]
         self.english: list[int] = [0, 0]
         self.foreign: list[tuple[int, ...]] = [(0,) * len(FOREIGN)] * 2
+        self.marked: list[bool] = [False, False]
 
     def __missing__(self, token: str) -> int:
         if token == "\0":
@@ -68,6 +70,7 @@ class Lexicon(dict):
             self.band.append(self.familiar.get(token, 0))
             self.english.append(token in _ENGLISH)
             self.foreign.append(tuple(token in f for f in _FOREIGN))
+            self.marked.append(token in _ENGLISH or any(self.foreign[-1]))
         self[token] = n
         return n
 
@@ -97,31 +100,35 @@ def tokens(texts: list[str | None], lex: Lexicon) -> Tokens:
     ids, doc, sentence = ids[word], doc[word], sentence[word]
     n = len(texts)
     words = np.bincount(doc, minlength=n)
-    en = np.bincount(doc, np.array(lex.english)[ids], n)
-    other = np.array(lex.foreign, float)[ids]
-    most = np.max([np.bincount(doc, other[:, k], n) for k in range(other.shape[1])], axis=0) if n else np.zeros(0)
+    marked = np.array(lex.marked, bool)[ids]
+    few, at = ids[marked], doc[marked]
+    en = np.bincount(at, np.array(lex.english, float)[few], n)
+    most = np.max([np.bincount(at, f, n) for f in np.array(lex.foreign, float)[few].T.reshape(len(FOREIGN), -1)], axis=0)
     # technical texts have few function words: what has no foreign majority, and some English word, is English
     return Tokens(ids, doc, sentence, (en > most) & (words > 0), words)
 
 
 def stretches(t: Tokens, bands: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, text, words) of the stretches: shares of words outside each familiar list, and the sentence length."""
+    """(features, text, words) of the stretches: the sentence length, and shares of words between neighbouring familiar lists.
+
+    These shares and the shares outside each list are the same features, each a sum of the others.
+    """
     if not len(t.ids):
         return np.zeros((0, count + 4)), np.zeros(0, np.int64), np.zeros(0)
-    _, first, length = np.unique(t.sentence, return_index=True, return_counts=True)  # sentences without words don't occur
+    first = np.flatnonzero(np.r_[True, t.sentence[1:] != t.sentence[:-1]])
+    length = np.diff(np.r_[first, len(t.ids)])
     doc = t.doc[first]
-    start = first - first[np.searchsorted(doc, doc)]
+    new = np.r_[True, doc[1:] != doc[:-1]]
+    start = first - first[new][np.cumsum(new) - 1]
     # a sentence belongs to the stretch in which its middle lies; a text's short rest joins the stretch before
-    size = t.words[doc]
-    number = np.minimum((start + length / 2) // STRETCH, np.maximum((size - STRETCH / 2) // STRETCH, 0)).astype(np.int64)
-    _, which = np.unique(doc * (1 << 32) + number, return_inverse=True)
-    n = which.max() + 1
+    number = np.minimum((start + length / 2) // STRETCH, np.maximum((t.words[doc] - STRETCH / 2) // STRETCH, 0))
+    which = np.cumsum(new | np.r_[True, number[1:] != number[:-1]]) - 1
+    n = which[-1] + 1
     words = np.bincount(which, length, n)
     row = np.repeat(which, length)
     cells = np.bincount(row * (count + 1) + bands[t.ids], minlength=n * (count + 1)).reshape(n, count + 1)
-    outside = np.cumsum(cells, axis=1) / words[:, None]
     mean = words / np.bincount(which, minlength=n)
-    x = np.c_[cells / words[:, None], outside[:, :0], np.minimum(np.log1p(mean), 4.5), np.minimum(mean, 45) / 45, np.ones(n)]
+    x = np.c_[cells / words[:, None], np.minimum(np.log1p(mean), 4.5), np.minimum(mean, 45) / 45, np.ones(n)]
     owner = np.zeros(n, np.int64)
     owner[which] = doc
     return x, owner, words
@@ -171,7 +178,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
             for i, j in pieces(texts):
                 t = tokens(texts[i:j], lex)
                 mine = t.english[t.doc]
-                pairs = np.unique(t.doc[mine] * (1 << 32) + t.ids[mine])
+                pairs = np.sort(t.doc[mine] * (1 << 32) + t.ids[mine])
+                pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
                 n = np.bincount(pairs & ((1 << 32) - 1), minlength=1)
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"word": [lex.words[k] for k in at] + [""], "n": np.r_[n[at], t.english.sum()]})
@@ -202,7 +210,7 @@ def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id",
     rows of their own. samples (sample_text, read_level): at most max_samples of them are fitted, chosen by hash.
     """
     spark = docs.sparkSession
-    familiar = familiar_words(document_frequencies(docs, text))
+    familiar = familiar_words(cut(document_frequencies(docs, text), "frequencies"))
     chosen = samples.select("sample_text", "read_level").orderBy(F.xxhash64("sample_text"), "read_level").limit(max_samples).collect()
     formula = fit_samples([tuple(r) for r in chosen], familiar)
     sent = spark.sparkContext.broadcast((familiar, formula))
@@ -224,7 +232,7 @@ def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id",
                 total = np.maximum(t.words, 1)
                 share = share / total[:, None] * t.english[:, None]
                 rare = np.bincount(t.doc, band[t.ids] <= tenth, n) / total
-                sentences = np.bincount(t.doc[np.unique(t.sentence, return_index=True)[1]], minlength=n)
+                sentences = np.bincount(t.doc[np.flatnonzero(np.r_[True, np.diff(t.sentence) != 0])] if len(t.ids) else t.doc, minlength=n)
                 level = pd.array(share.argmax(axis=1) + 1, dtype="Int64")
                 level[~t.english] = pd.NA
                 out = {"doc_id": ids[i:j], "english": t.english, "n_words": t.words, "level": level}
