@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 EARTH_KM = 6371.0088
 
@@ -79,7 +80,7 @@ def smallest_box(points: np.ndarray) -> tuple[float, float, float, float, float]
     return float(x), float(y), float(w), float(height), float(angle % np.pi)
 
 
-@F.pandas_udf("cx double, cy double, long_side double, short_side double, angle double")
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("cx", "cy", "long_side", "short_side", "angle")]))
 def min_area_box(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     """smallest_box of the vertices in two arrays."""
     return pd.DataFrame([smallest_box(np.c_[x, y]) for x, y in zip(xs, ys)], columns=["cx", "cy", "long_side", "short_side", "angle"])
@@ -105,7 +106,7 @@ def thinned(p: np.ndarray, tolerance: float) -> np.ndarray:
     return p[keep]
 
 
-@F.pandas_udf("xs array<double>, ys array<double>")
+@F.pandas_udf(StructType([StructField(n, ArrayType(DoubleType())) for n in ("xs", "ys")]))
 def simplify(xs: pd.Series, ys: pd.Series, tolerance: pd.Series) -> pd.DataFrame:
     """Lines of vertices in two arrays, thinned; lines of up to two vertices stay."""
     out = [thinned(np.c_[x, y], t) if len(x) > 2 else np.c_[x, y] for x, y, t in zip(xs, ys, tolerance)]
