@@ -46,7 +46,12 @@ def value_counts(df: DataFrame, groups: list[str], value: Column, step: float |
     Rows without a value (null, NaN) don't count; null groups are a group. Repeated rows count each time: remove repeats
     first where they are no observations. An empty input gives an empty table.
     """
-    return df.select(*groups, cell_of(value, step, relative).alias("cell")).where(F.col("cell").isNotNull()).groupBy(*groups, "cell").agg(F.count(F.lit(1)).alias("n"))
+    return cell_counts(df.select(*groups, cell_of(value, step, relative).alias("cell")), groups)
+
+
+def cell_counts(df: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, cell, n) of rows that have their cell already; rows without one don't count."""
+    return df.where(F.col("cell").isNotNull()).groupBy(*groups, "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_counts(*parts: DataFrame, groups: list[str]) -> DataFrame:
@@ -65,25 +70,36 @@ def percentiles(counts: DataFrame, groups: list[str], shares: list[float], step:
     value of p is the first cell whose cumulated count reaches max(1, ceil(p*n)). n is the number of values. counts has each
     (groups, cell) once, as value_counts and merge_counts give it. One shuffle serves the sums, the windows and the join.
     """
+    found = cell_percentiles(counts, groups, shares)
+    return found.select(*groups, "p", value_of(F.col("cell"), step, relative).alias("value"), "n")
+
+
+def cell_percentiles(counts: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
+    """(groups, p, cell, n): percentiles as cells, so that groups of differently cut values can share one pass."""
     if any(not 0 <= p <= 1 for p in shares) or not shares:
         raise ValueError("shares must lie in [0, 1]")
-    # null-safe keys as pairs of a plain value and a mark, so that sums, windows and the join share one partitioning
-    names = [n for i in range(len(groups)) for n in (f"_g{i}", f"_null{i}")]
-    plain = lambda g: F.coalesce(F.col(g), F.lit("" if dict(counts.dtypes)[g] == "string" else 0).cast(counts.schema[g].dataType))
-    keys = [c for i, g in enumerate(groups) for c in (plain(g).alias(f"_g{i}"), F.col(g).isNull().alias(f"_null{i}"))]
-    c = counts.select(*keys, "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block")).repartition(*names, "_block")
-    totals = c.groupBy(*names, "_block").agg(F.sum("n").alias("_t"))
+    # null-safe keys, as a plain value and a mark where nulls can occur, so that sums, windows and the join share one partitioning
+    plain, marks = {}, {}
+    for i, g in enumerate(groups):
+        kind = counts.schema[g]
+        plain[f"_g{i}"] = F.coalesce(F.col(g), F.lit("" if kind.dataType.simpleString() == "string" else 0).cast(kind.dataType)) if kind.nullable else F.col(g)
+        if kind.nullable:
+            marks[f"_null{i}"] = F.col(g).isNull()
+    names = [*plain, *marks]
+    c = counts.select(*[x.alias(n) for n, x in (plain | marks).items()], "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block")).repartition(*names, "_block")
+    # the last cell keeps this branch's columns those of the other, so that both read one shuffle
+    totals = c.groupBy(*names, "_block").agg(F.sum("n").alias("_t"), F.max("cell").alias("_last"))
     ordered = Window.partitionBy(*names).orderBy("_block")
     offsets = totals.select(
-        *names, "_block",
+        *names, "_block", "_last",
         F.coalesce(F.sum("_t").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.sum("_t").over(Window.partitionBy(*names)).alias("_all"),
     )
     inner = Window.partitionBy(*names, "_block").orderBy("cell")
     running = c.withColumn("_run", F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    cum = running.join(offsets, [*names, "_block"]).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
+    cum = running.join(offsets, [*names, "_block"]).where(F.col("cell") <= F.col("_last")).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
     rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_all") - F.lit(1e-9)))
     hits = F.filter(F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("r")) for p in shares]), lambda x: (x["r"] > F.col("_from")) & (x["r"] <= F.col("_to")))
     picked = cum.withColumn("_hit", F.explode(hits))
-    back = [F.when(~F.col(f"_null{i}"), F.col(f"_g{i}")).alias(g) for i, g in enumerate(groups)]
-    return picked.select(*back, F.col("_hit.p").alias("p"), value_of(F.col("cell"), step, relative).alias("value"), F.col("_all").alias("n"))
+    back = [(F.when(~F.col(f"_null{i}"), F.col(f"_g{i}")) if f"_null{i}" in marks else F.col(f"_g{i}")).alias(g) for i, g in enumerate(groups)]
+    return picked.select(*back, F.col("_hit.p").alias("p"), "cell", F.col("_all").alias("n"))

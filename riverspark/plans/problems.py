@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riverspark.functions.numbers import settled
 from riverspark.operators.proximity import near_pairs, usable
-from riverspark.operators.quantiles import merge_counts, percentiles, value_counts
+from riverspark.operators.quantiles import cell_counts, cell_of, cell_percentiles, merge_counts, percentiles, value_counts, value_of
 from riverspark.operators.references import ForeignKey, orphan_cascade
 from riverspark.operators.skew import Measure, salted_aggregate
 from riverspark.operators.snapshots import snapshot_changes
@@ -63,16 +63,28 @@ def p1_basin_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per basin and year, and per continent and year."""
-    dof, units = dof_rows(spark, d), unit_rows(spark, d).withColumnRenamed("stat_year", "snap_year")
-    out = None
-    for name, rows, error in (("hdi_ix_sav", units, {"step": HDI_STEP}), ("dof_all", dof, {"step": DOF_STEP}), ("dis_av_cms", dof, {"relative": DIS_RELATIVE})):
-        for by in ("hybas_id", "continent"):
-            part = value_counts(rows, [by, "snap_year"], F.col(name), **error)
-            p = percentiles(part, [by, "snap_year"], SHARES, **error)
-            one = p.select(F.lit(name).alias("measure"), F.lit(by).alias("grouped_by"), F.col(by).cast("string").alias("group_id"), "snap_year", "p", F.round("value", 6).alias("value"), "n")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Percentiles per basin and year, and per continent and year: all measures and groupings in one pass over long, narrow rows."""
+    errors = {"hdi_ix_sav": {"step": HDI_STEP}, "dof_all": {"step": DOF_STEP}, "dis_av_cms": {"relative": DIS_RELATIVE}}
+    pairs = [(n, by) for n in errors for by in ("hybas_id", "continent")]  # a row's code is its place here
+
+    def long(rows: DataFrame, names: list[str]) -> DataFrame:
+        each = []
+        for k, (n, by) in enumerate(pairs):
+            if n in names:
+                ids = (F.col("hybas_id"), F.lit(None).cast("string")) if by == "hybas_id" else (F.lit(None).cast("long"), F.col("continent"))
+                each.append(F.struct(F.lit(k).alias("code"), ids[0].alias("basin"), ids[1].alias("region"), cell_of(F.col(n), **errors[n]).alias("cell")))
+        return rows.select(F.coalesce("snap_year", F.lit(-1)).alias("snap_year"), F.inline(F.array(*each)))
+
+    rows = long(dof_rows(spark, d), ["dof_all", "dis_av_cms"]).unionByName(long(unit_rows(spark, d).withColumnRenamed("stat_year", "snap_year"), ["hdi_ix_sav"]))
+    keys = ["code", "basin", "region", "snap_year"]
+    found = cell_percentiles(cell_counts(rows, keys), keys, SHARES)
+    value, measure, grouped, group = (F.lit(None).cast(t) for t in ("double", "string", "string", "string"))
+    for k, (n, by) in enumerate(pairs):
+        here = F.col("code") == k
+        value, measure, grouped = F.when(here, value_of(F.col("cell"), **errors[n])).otherwise(value), F.when(here, n).otherwise(measure), F.when(here, by).otherwise(grouped)
+        group = F.when(here, F.col("basin").cast("string") if by == "hybas_id" else F.col("region")).otherwise(group)
+    year = F.when(F.col("snap_year") != -1, F.col("snap_year"))
+    return found.select(measure.alias("measure"), grouped.alias("grouped_by"), group.alias("group_id"), year.alias("snap_year"), "p", F.round(value, 6).alias("value"), "n")
 
 
 def p2_merged_days(spark: SparkSession, d: str) -> DataFrame:
