@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverspark.session import cut
+
 #: Cells of one block of the range-sort; a group has at most cells/BLOCK blocks.
 BLOCK = 256
 TINY = 1e-9
@@ -68,7 +70,8 @@ def percentiles(counts: DataFrame, groups: list[str], shares: list[float], step:
     Cells are range-sorted: a block holds BLOCK neighbouring cells of a group, running sums are taken inside a block,
     and the block's offset (the sum of the blocks before it, from the far smaller table of block totals) is added. The
     value of p is the first cell whose cumulated count reaches max(1, ceil(p*n)). n is the number of values. counts has each
-    (groups, cell) once, as value_counts and merge_counts give it. One shuffle serves the sums, the windows and the join.
+    (groups, cell) once, as value_counts and merge_counts give it; it is written to the shared folder. The windows and the
+    join share one shuffle of the counts.
     """
     found = cell_percentiles(counts, groups, shares)
     return found.select(*groups, "p", value_of(F.col("cell"), step, relative).alias("value"), "n")
@@ -86,18 +89,18 @@ def cell_percentiles(counts: DataFrame, groups: list[str], shares: list[float])
         if kind.nullable:
             marks[f"_null{i}"] = F.col(g).isNull()
     names = [*plain, *marks]
-    c = counts.select(*[x.alias(n) for n, x in (plain | marks).items()], "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block")).repartition(*names, "_block")
-    # the last cell keeps this branch's columns those of the other, so that both read one shuffle
-    totals = c.groupBy(*names, "_block").agg(F.sum("n").alias("_t"), F.max("cell").alias("_last"))
+    # two passes over the counts, which are written once rather than made twice
+    c = cut(counts.select(*[x.alias(n) for n, x in (plain | marks).items()], "cell", "n", F.floor(F.col("cell") / F.lit(BLOCK)).alias("_block")), "counts")
+    totals = c.groupBy(*names, "_block").agg(F.sum("n").alias("_t"))
     ordered = Window.partitionBy(*names).orderBy("_block")
     offsets = totals.select(
-        *names, "_block", "_last",
+        *names, "_block",
         F.coalesce(F.sum("_t").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
         F.sum("_t").over(Window.partitionBy(*names)).alias("_all"),
     )
     inner = Window.partitionBy(*names, "_block").orderBy("cell")
     running = c.withColumn("_run", F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    cum = running.join(offsets, [*names, "_block"]).where(F.col("cell") <= F.col("_last")).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
+    cum = running.join(offsets, [*names, "_block"]).withColumn("_to", F.col("_run") + F.col("_offset")).withColumn("_from", F.col("_to") - F.col("n"))
     rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_all") - F.lit(1e-9)))
     hits = F.filter(F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("r")) for p in shares]), lambda x: (x["r"] > F.col("_from")) & (x["r"] <= F.col("_to")))
     picked = cum.withColumn("_hit", F.explode(hits))

@@ -75,7 +75,8 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
                 each.append(F.struct(F.lit(k).alias("code"), ids[0].alias("basin"), ids[1].alias("region"), cell_of(F.col(n), **errors[n]).alias("cell")))
         return rows.select(F.coalesce("snap_year", F.lit(-1)).alias("snap_year"), F.inline(F.array(*each)))
 
-    rows = long(dof_rows(spark, d), ["dof_all", "dis_av_cms"]).unionByName(long(unit_rows(spark, d).withColumnRenamed("stat_year", "snap_year"), ["hdi_ix_sav"]))
+    units = table(spark, d, "basin_units").select("unit_id", "hybas_id", "continent", F.col("stat_year").alias("snap_year"), measured("hdi_ix_sav").alias("hdi_ix_sav")).distinct()
+    rows = long(dof_rows(spark, d), ["dof_all", "dis_av_cms"]).unionByName(long(units, ["hdi_ix_sav"]))
     keys = ["code", "basin", "region", "snap_year"]
     found = cell_percentiles(cell_counts(rows, keys), keys, SHARES)
     value, measure, grouped, group = (F.lit(None).cast(t) for t in ("double", "string", "string", "string"))
