@@ -46,38 +46,46 @@ def _walk(start: DataFrame, step: Callable[[DataFrame], DataFrame], name: str) -
     raise ValueError("the network has a cycle")
 
 
-def fragmentation(net: DataFrame, barriers: DataFrame, up: float = 5.0, down: float = 5.0, mode: int = 1) -> DataFrame:
-    """(node, dof): degree of fragmentation of every reach of net (node, down, q, fall), 0 where no barrier reaches.
+def barrier_scores(net: DataFrame, barriers: DataFrame, up: float = 5.0, down: float = 5.0, mode: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """(node, s, carry): the scores that barriers give to the reaches they reach, as fragmentation describes.
 
-    barriers (node, and optionally dfu, dfd: own factors). From a barrier at discharge qb the effect goes upstream while
-    q >= qb/up and no waterfall (fall = 1) is met, and downstream while q <= qb*down; factors are at least 1+1e-15. A
-    reach has the maximum of its barriers. A barrier on a reach without discharge (0 or null) gives that reach 100 and
-    isn't routed. Equal barriers on a reach are one; barriers on unknown reaches are ignored.
+    carry: further columns of barriers that stay with their scores (such as the barrier's own reach, for simulations).
     """
-    score = decay(mode)
+    score, carry = decay(mode), carry or []
     own = [F.greatest(F.coalesce(F.col(c).cast("double") if c in barriers.columns else F.lit(None).cast("double"), F.lit(v)), F.lit(1 + 1e-15)).alias(c) for c, v in (("dfu", up), ("dfd", down))]
     n = net.select("node", "down", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("fall", F.lit(0)).alias("fall"))
-    b = barriers.select("node", *own).distinct().join(n.select("node", "q", "fall"), "node").select("node", F.col("q").alias("qb"), "dfu", "dfd", "fall")
-    still = b.where("qb <= 0").select("node", F.lit(100.0).alias("s"))
+    b = barriers.select("node", *own, *carry).distinct().join(n.select("node", F.col("q").alias("qb"), "fall"), "node")
+    still = b.where("qb <= 0").select("node", F.lit(100.0).alias("s"), *carry)
     live = b.where("qb > 0")
     kids = n.select(F.col("down").alias("at"), F.col("node").alias("to"), "q", "fall").where("at IS NOT NULL")
-
-    def climb(f: DataFrame) -> DataFrame:
-        j = f.select(F.col("node").alias("at"), "qb", "dfu").join(kids, "at")
-        return j.where((F.col("fall") == 0) & (F.col("q") >= F.col("qb") / F.col("dfu")) & (F.col("q") > 0)).select(F.col("to").alias("node"), "q", "qb", "dfu").distinct()
-
     nodes = n.select(F.col("node").alias("to"), F.col("q").alias("q"))
     edges = n.where("down IS NOT NULL").select(F.col("node").alias("at"), F.col("down").alias("to"))
+    ups, downs = ["qb", "dfu", *carry], ["qb", "dfd", *carry]
+
+    def climb(f: DataFrame) -> DataFrame:
+        j = f.select(F.col("node").alias("at"), *ups).join(kids, "at")
+        return j.where((F.col("fall") == 0) & (F.col("q") >= F.col("qb") / F.col("dfu")) & (F.col("q") > 0)).select(F.col("to").alias("node"), "q", *ups).distinct()
 
     def descend(f: DataFrame) -> DataFrame:
-        j = f.select(F.col("node").alias("at"), "qb", "dfd").join(edges, "at").join(nodes, "to")
-        return j.where((F.col("q") <= F.col("qb") * F.col("dfd")) & (F.col("q") > 0)).select(F.col("to").alias("node"), "q", "qb", "dfd").distinct()
-
-    ups = _walk(live.where("fall = 0").select("node", F.col("qb").alias("q"), "qb", "dfu").distinct(), climb, "dofup")
-    downs = _walk(live.select("node", F.col("qb").alias("q"), "qb", "dfd").distinct(), descend, "dofdown")
-    all_scores = still.unionByName(ups.select("node", score(F.col("q"), F.col("qb"), F.col("dfu"), True).alias("s"))).unionByName(downs.select("node", score(F.col("q"), F.col("qb"), F.col("dfd"), False).alias("s")))
-    best = all_scores.groupBy("node").agg(F.max("s").alias("dof"))
-    return n.select("node").join(best, "node", "left").withColumn("dof", F.coalesce("dof", F.lit(0.0)))
+        j = f.select(F.col("node").alias("at"), *downs).join(edges, "at").join(nodes, "to")
+        return j.where((F.col("q") <= F.col("qb") * F.col("dfd")) & (F.col("q") > 0)).select(F.col("to").alias("node"), "q", *downs).distinct()
+
+    above = _walk(live.where("fall = 0").select("node", F.col("qb").alias("q"), *ups).distinct(), climb, "dofup")
+    below = _walk(live.select("node", F.col("qb").alias("q"), *downs).distinct(), descend, "dofdown")
+    scored = still.unionByName(above.select("node", score(F.col("q"), F.col("qb"), F.col("dfu"), True).alias("s"), *carry))
+    return scored.unionByName(below.select("node", score(F.col("q"), F.col("qb"), F.col("dfd"), False).alias("s"), *carry))
+
+
+def fragmentation(net: DataFrame, barriers: DataFrame, up: float = 5.0, down: float = 5.0, mode: int = 1) -> DataFrame:
+    """(node, dof): degree of fragmentation of every reach of net (node, down, q, fall), 0 where no barrier reaches.
+
+    barriers (node, and optionally dfu, dfd: own factors). From a barrier at discharge qb the effect goes upstream while
+    q >= qb/up and no waterfall (fall = 1) is met, and downstream while q <= qb*down; factors are at least 1+1e-15. A
+    reach has the maximum of its barriers. A barrier on a reach without discharge (0 or null) gives that reach 100 and
+    isn't routed. Equal barriers on a reach are one; barriers on unknown reaches are ignored.
+    """
+    best = barrier_scores(net, barriers, up, down, mode).groupBy("node").agg(F.max("s").alias("dof"))
+    return net.select("node").join(best, "node", "left").withColumn("dof", F.coalesce("dof", F.lit(0.0)))
 
 
 def accumulate(net: DataFrame, amounts: DataFrame) -> DataFrame:
