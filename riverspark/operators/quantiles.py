@@ -21,14 +21,14 @@ TINY = 1e-9
 
 
 def cell_of(value: Column, step: float | None = None, relative: float | None = None) -> Column:
-    """The cell's number, which grows with the value; null for null and NaN. Infinities get the outermost cells."""
+    """The cell's number, which grows with the value; null for null and NaN. Infinities get the outermost cells, with step beyond 9e17 steps, with relative beyond 1e298."""
     if (step is None) == (relative is None):
         raise ValueError("give either step or relative")
     v = F.when(~F.isnan(value), value.cast("double"))
     if step is not None:
         return F.when(F.abs(v) < 9e17 * step, F.round(v / F.lit(step)).cast("long")).when(v > 0, F.lit(2**62)).otherwise(F.when(v.isNotNull(), F.lit(-(2**62))))
     base = math.log1p(2 * relative / (1 - relative))
-    size = F.least(F.abs(v), F.lit(1.7e308))
+    size = F.least(F.abs(v), F.lit(1e298))
     k = F.ceil(F.ln(F.greatest(size, F.lit(TINY)) / F.lit(TINY)) / F.lit(base)).cast("long") + 1
     return F.when(v.isNull(), F.lit(None).cast("long")).when(F.abs(v) < TINY, F.lit(0).cast("long")).when(v > 0, k).otherwise(-k)
 

@@ -41,56 +41,77 @@ def missing_parents(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     return pairs.join(p, (F.col("ref") == F.col("own")) & _holds("valid_from", "valid_to"), "left_anti")
 
 
-def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], cut_every: int = 4, max_rounds: int = 10_000) -> DataFrame:
+def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_rounds: int = 100_000) -> DataFrame:
     """(src_table, period, rec_id, ref, level, kind): level 0 are direct orphans, level k inherit from an orphan of level k-1.
 
     Every table has rec_id (its record), period, valid_from, valid_to (null: open) and the columns that keys name. A
     reference holds if a parent row has that own key and is valid in the child's period. Round 0 anti-joins each foreign
     key to its parent: over distinct (ref, period) pairs, combined before the shuffle, so a parent to which a third of
-    all rows refer is one pair a period. Each further round semi-joins the children of the last round's new orphans,
-    leaves out what is already reported, and stops at the fixpoint. A child inherits only if every valid parent row of
-    its reference is an orphan in that period.
-
-    A null ref is no reference. Equal rows give one result row. A record that is an orphan at several levels keeps its
-    lowest level per reference. Self references and cycles end, as nothing is reported twice. Empty tables give no rows.
-    Lineage is cut by tables in the shared folder. Columns that aren't named above are ignored.
+    all rows refer is one pair a period. Each further round semi-joins the children of the records that became orphans in
+    the last round, and the fixpoint is reached when none is new. Children that nothing refers to take no part in the
+    rounds; they inherit in one join at the end. A child inherits only if every valid parent row of its reference is an
+    orphan in that period; its level is that of the last of them, plus one.
+
+    A null ref is no reference. Equal rows give one result row. Self references and cycles end, as a record becomes an
+    orphan once per period. Empty tables give no rows. Columns that aren't named above are ignored. What is used again
+    in every round is written to the shared folder once, as are the rounds.
     """
     if not keys:
         raise ValueError("no foreign key")
+    parents = {k.parent for k in keys}
 
     def refs(k: ForeignKey) -> DataFrame:
         return tables[k.child].where(F.col(k.ref).isNotNull()).select("period", _period(), "rec_id", F.col(k.ref).alias("ref"))
 
-    def rows(k: ForeignKey, of: DataFrame, level: int) -> DataFrame:
-        hit = salted_join(refs(k), of, ["ref", "_p"], "left_semi")
-        return hit.select(F.lit(k.child).alias("src_table"), "period", "_p", "rec_id", "ref", F.lit(level).alias("level")).distinct()
+    def owners(k: ForeignKey) -> DataFrame:
+        return tables[k.parent].where(F.col(k.own).isNotNull()).select("rec_id", F.col(k.own).alias("ref"), "valid_from", "valid_to").distinct()
+
+    def shaped(rows: DataFrame, k: ForeignKey, level) -> DataFrame:
+        return rows.select(F.lit(k.child).alias("src_table"), "period", "_p", "rec_id", "ref", level.alias("level"))
 
     found = None
     for k in keys:
         pairs = refs(k).select("ref", "_p").distinct()
         gone = missing_parents(pairs, tables[k.parent].select(F.col(k.own).alias("own"), "valid_from", "valid_to"))
-        direct = rows(k, gone, 0)
+        direct = shaped(salted_join(refs(k), gone, ["ref", "_p"], "left_semi"), k, F.lit(0)).distinct()
         found = direct if found is None else found.unionByName(direct)
-    inner = [k for k in keys if k.parent in {x.child for x in keys}]
-    if inner:  # else no orphan has children, and round 0 is the fixpoint
-        found = cut(found, "orphans0")
-        frontier, level = found, 0
-        while level < max_rounds:
-            level += 1
-            step = None
-            for k in inner:
-                bad = found.where(F.col("src_table") == k.parent).select("rec_id", "_p").distinct()
-                fresh = frontier.where(F.col("src_table") == k.parent).select("rec_id", "_p").distinct()
-                own = tables[k.parent].where(F.col(k.own).isNotNull()).select("rec_id", F.col(k.own).alias("ref"), "valid_from", "valid_to").distinct()
-                touched = own.join(fresh, "rec_id").where(_holds("valid_from", "valid_to")).select("ref", "_p").distinct()
-                holders = own.join(touched, "ref").where(_holds("valid_from", "valid_to")).select("rec_id", "ref", "_p")
-                sound = holders.join(bad, ["rec_id", "_p"], "left_anti").select("ref", "_p").distinct()
-                new = rows(k, touched.join(sound, ["ref", "_p"], "left_anti"), level)
-                step = new if step is None else step.unionByName(new)
-            frontier = cut(step.join(found, ["src_table", "_p", "rec_id", "ref"], "left_anti"), f"orphans{level}")
-            if frontier.isEmpty():
-                break
-            found = found.unionByName(frontier)
-            if level % cut_every == 0:
-                found = cut(found, "orphans-all")
+    if not any(k.parent in {x.child for x in keys} for k in keys):  # no orphan has children: round 0 is the fixpoint
+        return _finished(found)
+    found = cut(found, "orphans0")
+    inner, leaves = [k for k in keys if k.child in parents], [k for k in keys if k.child not in parents and k.parent in {x.child for x in keys}]
+    edges = [(k, cut(refs(k).distinct(), "refs"), cut(owners(k), "owners")) for k in inner]
+    shared = {id(own): not own.groupBy("ref").count().where("count > 1").isEmpty() for _, _, own in edges}
+    seen = frontier = cut(found.where(F.col("src_table").isin(list(parents))).select("src_table", "rec_id", "_p", "level").distinct(), "orphan-records0")
+    level = 0
+    while level < max_rounds and not frontier.isEmpty():
+        level += 1
+        new = None
+        for k, ref, own in edges:
+            fresh = frontier.where(F.col("src_table") == k.parent).select("rec_id", "_p")
+            dead = own.join(fresh, "rec_id").where(_holds("valid_from", "valid_to")).select("ref", "_p").distinct()
+            if shared[id(own)]:  # a key of several rows is lost when the last of them is
+                bad = seen.where(F.col("src_table") == k.parent).select("rec_id", "_p")
+                holders = own.join(dead, "ref").where(_holds("valid_from", "valid_to")).select("rec_id", "ref", "_p")
+                dead = dead.join(holders.join(bad, ["rec_id", "_p"], "left_anti").select("ref", "_p").distinct(), ["ref", "_p"], "left_anti")
+            one = shaped(ref.join(dead, ["ref", "_p"], "left_semi"), k, F.lit(level))
+            new = one if new is None else new.unionByName(one)
+        if new is None:
+            break
+        rows = cut(new, f"orphans{level}")
+        found = found.unionByName(rows)
+        known = seen.select("src_table", "rec_id", "_p")
+        frontier = cut(rows.select("src_table", "rec_id", "_p", "level").distinct().join(known, ["src_table", "rec_id", "_p"], "left_anti"), f"orphan-records{level}")
+        seen = seen.unionByName(frontier)
+    for k in leaves:
+        bad = seen.where(F.col("src_table") == k.parent).select("rec_id", F.col("_p"), "level")
+        own = owners(k)
+        lost = own.join(bad, "rec_id").where(_holds("valid_from", "valid_to")).groupBy("ref", "_p").agg(F.max("level").alias("_l"), F.countDistinct("rec_id").alias("_n"))
+        holders = own.join(lost.select("ref", "_p"), "ref").where(_holds("valid_from", "valid_to")).groupBy("ref", "_p").agg(F.countDistinct("rec_id").alias("_all"))
+        dead = lost.join(holders, ["ref", "_p"]).where("_n = _all").select("ref", "_p", "_l")
+        found = found.unionByName(shaped(salted_join(refs(k), dead, ["ref", "_p"], "inner"), k, (F.col("_l") + 1).cast("int")).distinct())
+    # a reference that was reached in several rounds keeps its lowest level
+    return _finished(found.groupBy("src_table", "period", "_p", "rec_id", "ref").agg(F.min("level").alias("level")))
+
+
+def _finished(found: DataFrame) -> DataFrame:
     return found.drop("_p").withColumn("kind", F.when(F.col("level") == 0, "direct").otherwise("inherited"))

@@ -37,9 +37,9 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> Da
 
 
 def _flagged(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
-    marks = heavy.select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("_heavy"))
-    on = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
-    return df.join(F.broadcast(marks), on, "left").drop(*[f"_h{i}" for i in range(len(keys))])
+    marks = heavy.select(*[F.col(k).alias(f"__rs_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("__rs_heavy"))
+    on = [F.col(k).eqNullSafe(F.col(f"__rs_h{i}")) for i, k in enumerate(keys)]
+    return df.join(F.broadcast(marks), on, "left").drop(*[f"__rs_h{i}" for i in range(len(keys))])
 
 
 def _partials(name: str, m: Measure) -> tuple[dict[str, Column], Column]:
@@ -79,7 +79,7 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: Mapping[str, Meas
     names = [f"_k{i}" for i in range(len(keys))]
     values = {n: m.value for n, m in measures.items() if m.value is not None}
     slim = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], *[v.alias(f"_v_{n}") for n, v in values.items()], F.pmod(F.xxhash64(chosen), F.lit(salts)).cast("int").alias("_s"))
-    spread = _flagged(slim, heavy_keys(slim, names, share), names).withColumn("_salt", F.when(F.col("_heavy"), F.col("_s")).otherwise(F.lit(-1)))
+    spread = _flagged(slim, heavy_keys(slim, names, share), names).withColumn("__rs_salt", F.when(F.col("__rs_heavy"), F.col("_s")).otherwise(F.lit(-1)))
     bound = {n: Measure(m.kind, F.col(f"_v_{n}") if m.value is not None else None) for n, m in measures.items()}
     partial, merge = {}, {}
     for n, m in bound.items():
@@ -87,7 +87,7 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: Mapping[str, Meas
             continue
         p, merge[n] = _partials(n, m)
         partial |= p
-    stage0 = [*names, "_salt"]
+    stage0 = [*names, "__rs_salt"]
     if distinct:
         d = distinct[0]
         # the values of a unit are merged first, with a combine on the map side; each distinct value is then one row
@@ -125,7 +125,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
         raise ValueError(f"both sides have {sorted(clash)}")
     heavy = heavy_keys(left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, share)
     of_row = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    a = _flagged(left, heavy, keys).withColumn("_salt", F.when(F.col("_heavy"), of_row).otherwise(F.lit(0))).drop("_heavy")
+    a = _flagged(left, heavy, keys).withColumn("__rs_salt", F.when(F.col("__rs_heavy"), of_row).otherwise(F.lit(0))).drop("__rs_heavy")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    b = _flagged(right, heavy, keys).withColumn("_salt", F.explode(F.when(F.col("_heavy"), every).otherwise(F.array(F.lit(0))))).drop("_heavy")
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    b = _flagged(right, heavy, keys).withColumn("__rs_salt", F.explode(F.when(F.col("__rs_heavy"), every).otherwise(F.array(F.lit(0))))).drop("__rs_heavy")
+    return a.join(b, [*keys, "__rs_salt"], how).drop("__rs_salt")

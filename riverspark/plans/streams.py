@@ -30,7 +30,7 @@ def str2_daily_counts(spark, d):
     reader = spark.readStream.schema(table(spark, d, "events").schema)
     stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(d)
     name = f"daily_{uuid.uuid4().hex}"
-    q = daily_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    q = daily_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.to_date("w.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
