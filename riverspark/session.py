@@ -28,13 +28,14 @@ def build_session(cpus: int | str = "*", app: str = "riverspark", **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset (tests), a local one is made and set."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset, and Spark is local (tests), one is made."""
+    sc = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="riverspark-cut-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder)
     return folder
 
 

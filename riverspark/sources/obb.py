@@ -27,6 +27,6 @@ def obb_tokens(lines: DataFrame, line: str, least: int = 9) -> DataFrame:
 def obb_points(lines: DataFrame, line: str, least: int = 9) -> DataFrame:
     """lines with dam_type, cx and cy of their box; boxes without area are dropped."""
     b = obb_tokens(lines, line, least)
-    num = lambda i: F.col("t")[i].try_cast("double")
+    num = lambda i: F.get("t", F.lit(i)).try_cast("double")
     _, cx, cy = shoelace([num(i) for i in (0, 2, 4, 6)], [num(i) for i in (1, 3, 5, 7)])
-    return b.withColumn("dam_type", F.col("t")[8]).withColumn("cx", cx).withColumn("cy", cy).where("cx IS NOT NULL").drop("t")
+    return b.withColumn("dam_type", F.get("t", F.lit(8))).withColumn("cx", cx).withColumn("cy", cy).where("cx IS NOT NULL").drop("t")
