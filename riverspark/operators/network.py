@@ -53,27 +53,29 @@ def barrier_scores(net: DataFrame, barriers: DataFrame, up: float = 5.0, down: f
     """
     score, carry = decay(mode), carry or []
     own = [F.greatest(F.coalesce(F.col(c).cast("double") if c in barriers.columns else F.lit(None).cast("double"), F.lit(v)), F.lit(1 + 1e-15)).alias(c) for c, v in (("dfu", up), ("dfd", down))]
-    n = net.select("node", "down", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("fall", F.lit(0)).alias("fall"))
+    n = cut(net.select("node", "down", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("fall", F.lit(0)).alias("fall")), "dofnet")
     b = barriers.select("node", *own, *carry).distinct().join(n.select("node", F.col("q").alias("qb"), "fall"), "node")
+    b = cut(b, "barriers")
     still = b.where("qb <= 0").select("node", F.lit(100.0).alias("s"), *carry)
     live = b.where("qb > 0")
     kids = n.select(F.col("down").alias("at"), F.col("node").alias("to"), "q", "fall").where("at IS NOT NULL")
-    nodes = n.select(F.col("node").alias("to"), F.col("q").alias("q"))
+    below = n.select(F.col("node").alias("to"), F.col("q").alias("q"))
     edges = n.where("down IS NOT NULL").select(F.col("node").alias("at"), F.col("down").alias("to"))
-    ups, downs = ["qb", "dfu", *carry], ["qb", "dfd", *carry]
+    state = ["qb", "factor", "climbs", *carry]
 
-    def climb(f: DataFrame) -> DataFrame:
-        j = f.select(F.col("node").alias("at"), *ups).join(kids, "at")
-        return j.where((F.col("fall") == 0) & (F.col("q") >= F.col("qb") / F.col("dfu")) & (F.col("q") > 0)).select(F.col("to").alias("node"), "q", *ups).distinct()
-
-    def descend(f: DataFrame) -> DataFrame:
-        j = f.select(F.col("node").alias("at"), *downs).join(edges, "at").join(nodes, "to")
-        return j.where((F.col("q") <= F.col("qb") * F.col("dfd")) & (F.col("q") > 0)).select(F.col("to").alias("node"), "q", *downs).distinct()
+    def step(f: DataFrame) -> DataFrame:
+        """One reach further, upstream for rows that climb, downstream for the others: both walks in one round."""
+        at = f.select(F.col("node").alias("at"), *state)
+        up_ = at.where("climbs").join(kids, "at").where((F.col("fall") == 0) & (F.col("q") >= F.col("qb") / F.col("factor")) & (F.col("q") > 0))
+        down_ = at.where(~F.col("climbs")).join(edges, "at").join(below, "to").where((F.col("q") <= F.col("qb") * F.col("factor")) & (F.col("q") > 0))
+        columns = [F.col("to").alias("node"), "q", *state]
+        return up_.select(columns).unionByName(down_.select(columns)).distinct()
 
-    above = _walk(live.where("fall = 0").select("node", F.col("qb").alias("q"), *ups).distinct(), climb, "dofup")
-    below = _walk(live.select("node", F.col("qb").alias("q"), *downs).distinct(), descend, "dofdown")
-    scored = still.unionByName(above.select("node", score(F.col("q"), F.col("qb"), F.col("dfu"), True).alias("s"), *carry))
-    return scored.unionByName(below.select("node", score(F.col("q"), F.col("qb"), F.col("dfd"), False).alias("s"), *carry))
+    at_barrier = lambda rows, factor, climbs: rows.select("node", F.col("qb").alias("q"), "qb", F.col(factor).alias("factor"), F.lit(climbs).alias("climbs"), *carry)
+    start = at_barrier(live.where("fall = 0"), "dfu", True).unionByName(at_barrier(live, "dfd", False)).distinct()
+    reached = _walk(start, step, "dof")
+    s = F.when(F.col("climbs"), score(F.col("q"), F.col("qb"), F.col("factor"), True)).otherwise(score(F.col("q"), F.col("qb"), F.col("factor"), False))
+    return still.unionByName(reached.select("node", s.alias("s"), *carry))
 
 
 def fragmentation(net: DataFrame, barriers: DataFrame, up: float = 5.0, down: float = 5.0, mode: int = 1) -> DataFrame:
@@ -93,8 +95,8 @@ def accumulate(net: DataFrame, amounts: DataFrame) -> DataFrame:
 
     What meets on a reach in one round is added up there, so a round has at most one row per reach.
     """
-    edges = net.where("down IS NOT NULL").select("node", "down")
-    known = net.select("node")
+    n = cut(net.select("node", "down"), "net")
+    edges, known = n.where("down IS NOT NULL"), n.select("node")
 
     def step(f: DataFrame) -> DataFrame:
         return f.join(edges, "node").groupBy(F.col("down").alias("node")).agg(F.sum("amount").alias("amount")).join(known, "node", "left_semi")
@@ -108,6 +110,7 @@ def regulation(net: DataFrame, storage: DataFrame) -> DataFrame:
 
     In percent, at most 100, below 0.1 is 0; 0 without discharge or without storage upstream.
     """
+    net = cut(net.select("node", "down", "q"), "net")
     total = accumulate(net, storage.select("node", F.coalesce("stor_mcm", F.lit(0.0)).alias("amount")))
     r = F.lit(100.0) * F.col("total") * F.lit(1e6) / (F.col("q") * F.lit(31_536_000.0))
     dor = F.when((F.col("q") > 0) & F.col("total").isNotNull(), F.when(r < 0.1, 0.0).otherwise(F.least(r, F.lit(100.0)))).otherwise(0.0)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverspark.operators.network import accumulate, dense_ids, dissolve, dof_score, fragmentation, pass_ratio, regulation, river_status, small_stretches, trapping
-from riverspark.plans.base import Catalog, dams, layer, reaches, settled, table
+from riverspark.plans.base import Catalog, dams, layer, reaches, settled
+from riverspark.session import cut
 
 C = Catalog()
 WATERFALL = "fall"
@@ -216,7 +217,7 @@ SMALL = f"""{BACKBONE}, {_H1}, sm AS (SELECT bb_id, stretch FROM fr JOIN hd USIN
 
 
 def small(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = flagged(spark, d)
+    f = cut(flagged(spark, d), "flagged")
     s = f.join(dissolve(f.select("node", "down", "bb_id", "ff"), ["bb_id", "ff"]), "node")
     return s, small_stretches(s.select("bb_id", "stretch", "ff", F.col("volume_tcm").alias("volume"), F.col("bb_vol").alias("bb_volume")), 25.0)
 
@@ -236,6 +237,7 @@ def filtered(spark: SparkSession, d: str) -> DataFrame:
     s, few = small(spark, d)
     o = s.join(few.withColumn("_few", F.lit(True)), ["bb_id", "stretch"], "left").drop("stretch")
     o = o.withColumn("ff2", F.when(F.col("_few"), 1).otherwise(F.col("ff"))).withColumn("csi2", F.when(F.col("_few"), 100.0).otherwise(F.col("csi"))).drop("_few")
+    o = cut(o, "filtered")
     return o.join(dissolve(o.select("node", "down", "bb_id", "ff2"), ["bb_id", "ff2"]), "node")
 
 
