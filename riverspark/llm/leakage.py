@@ -27,7 +27,7 @@ CLASSES = ((40, 1), (10**9, 2))
 #: Fixed values from the definition of a case.
 EXACT_WORDS, LOOSE_WORDS, LOOSE_SHARE = 16, 25, 6
 #: Words of a run that several items share from which on it is shared wording, no part of an item.
-SHARED_WORDS = 10
+SHARED_WORDS = EXACT_WORDS
 #: Items held in a task at once; more are searched in blocks, each against all documents.
 BLOCK_ITEMS = 20_000
 REACH, SHIFT = 52, 5
@@ -197,7 +197,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     A stretch is at least 16 consecutive words, or at least 25 of which at most one in six was changed, dropped or added,
     after markup, case, punctuation, line breaks and invisible characters are taken away. Wording that several items
-    share (10 words or more) is no part of an item, so equal items yield nothing. Null and empty texts hold nothing and
+    share (16 words or more) is no part of an item, so equal items yield nothing. Null and empty texts hold nothing and
     are held by nothing; parts and texts below 16 words can't be cases. Whole texts of any length are searched, copies of
     a document are documents of their own, and repeated rows give one row. Columns not named are ignored.
 

@@ -5,7 +5,7 @@ corpus' own document frequencies (one list per cut-off), and the shares of words
 sentence length, form the formula. Its coefficients are fitted on labelled samples. One cut-off alone can't do it where
 the words of easy texts are rarer in the corpus than technical ones; nested cut-offs can.
 
-A text is judged in stretches of about STRETCH words that end with a sentence; the document's level is that of most of
+A text is judged in stretches of about STRETCH words, whole sentences; the document's level is that of most of
 its words.
 """
 
@@ -25,7 +25,7 @@ from riverspark.session import cut
 
 #: Cut-offs of the nested lists: share of the English documents that hold the word. The lowest bounds the list's size.
 CUTOFFS = (0.003, 0.006, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.065, 0.08, 0.095, 0.11, 0.125, 0.14, 0.16, 0.18, 0.2, 0.23, 0.27, 0.32, 0.4, 0.6)
-STRETCH, LEVELS = 60, 5
+STRETCH, LEVELS = 24, 5
 #: Labelled samples that are fitted at most, and words the familiar lists may have at most.
 MAX_SAMPLES, MAX_WORDS = 20_000, 1_000_000
 
