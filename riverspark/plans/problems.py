@@ -156,14 +156,14 @@ def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Reaches that drain into a reach missing in a snapshot year, all upstream of them, and the dams on any of those."""
     r = table(spark, d, "reaches").select("goid", "hybas_id", "noid", "ndoid", "valid_from", "valid_to").distinct()
     valid = r.withColumn("period", F.explode(F.array(F.lit(2010), F.lit(2015), F.lit(2020)))).where((F.col("valid_from") <= F.col("period")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("period"))))
-    node = lambda n: F.concat_ws(":", "hybas_id", n)
+    node = lambda n: F.shiftleft("hybas_id", 30) + F.col(n)  # noqa: E731  one number: basins have 33 bits, nodes of a basin 30
+    nowhere = F.lit(None).cast("long")
     reaches = valid.select(F.col("goid").alias("rec_id"), "period", "goid", node("noid").alias("node"), F.when(F.col("ndoid") != 0, node("ndoid")).alias("down"), F.col("period").alias("valid_from"), F.col("period").alias("valid_to"))
-    reaches = reaches.withColumn("goid", F.col("goid").cast("string"))
-    dam = _dam_refs(spark, d).withColumn("goid", F.col("goid").cast("string"))
-    main = table(spark, d, "mainstems").select(F.col("goid").alias("rec_id"), F.lit(None).cast("int").alias("period"), F.col("goid").cast("string").alias("goid"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("down"), "valid_from", "valid_to").distinct()
+    main = table(spark, d, "mainstems").select(F.col("goid").alias("rec_id"), F.lit(None).cast("int").alias("period"), "goid", nowhere.alias("node"), nowhere.alias("down"), "valid_from", "valid_to").distinct()
     network = reaches.unionByName(main)
-    found = orphan_cascade({"reaches": network, "dams": dam}, [ForeignKey("reaches", "down", "reaches", "node"), ForeignKey("dams", "goid", "reaches", "goid")])
-    return found.select("src_table", F.col("period").alias("snap_year"), "rec_id", "ref", "level", "kind")
+    found = orphan_cascade({"reaches": network, "dams": _dam_refs(spark, d)}, [ForeignKey("reaches", "down", "reaches", "node"), ForeignKey("dams", "goid", "reaches", "goid")])
+    ref = F.when(F.col("src_table") == "reaches", F.concat_ws(":", F.shiftright("ref", 30), F.col("ref").bitwiseAND(F.lit(2**30 - 1)))).otherwise(F.col("ref").cast("string"))
+    return found.select("src_table", F.col("period").alias("snap_year"), "rec_id", ref.alias("ref"), "level", "kind")
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
