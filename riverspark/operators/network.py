@@ -189,4 +189,4 @@ def river_status(rows: DataFrame) -> DataFrame:
 def dense_ids(net: DataFrame, basin: str, order: list[str], key: str) -> DataFrame:
     """(key, basin, idx): 1, 2, … per basin in the given order; nulls last, ties by key."""
     w = Window.partitionBy(basin).orderBy(*[F.col(c).asc_nulls_last() for c in order], key)
-    return net.select(key, basin, F.row_number().over(w).alias("idx"))
+    return net.select(key, basin, F.row_number().over(w).cast("long").alias("idx"))

@@ -314,4 +314,4 @@ def prj31_dof_class(spark, d):
 
 @C.add("SELECT dam_id, first_year, rank() OVER (PARTITION BY first_year ORDER BY stor_mcm DESC) AS r FROM da", "da")
 def prj32_rank_by_storage(spark, d):
-    return dams(spark, d).select("dam_id", "first_year", F.rank().over(Window.partitionBy("first_year").orderBy(F.desc("stor_mcm"))).alias("r"))
+    return dams(spark, d).select("dam_id", "first_year", F.rank().over(Window.partitionBy("first_year").orderBy(F.desc("stor_mcm"))).cast("long").alias("r"))

@@ -313,13 +313,13 @@ def agg30_geometry_collection(spark, d):
 @C.add("WITH " + _FR + ", o AS (SELECT riv_ord, round(count(*) FILTER (WHERE dof_all > 50) * 100.0::DOUBLE / count(*) + 1e-7, 4) AS pct FROM fg WHERE riv_ord IS NOT NULL GROUP BY 1) SELECT riv_ord, pct, rank() OVER (ORDER BY pct DESC) AS top, rank() OVER (ORDER BY pct) AS bottom FROM o", "la re")
 def rpt1_high_dof_by_order(spark, d):
     o = classed(spark, d).where("riv_ord IS NOT NULL").groupBy("riv_ord").agg(F.round(F.count_if(F.col("dof_all") > 50) * 100.0 / F.count(F.lit(1)) + F.lit(1e-7), 4).alias("pct"))
-    return o.withColumn("top", F.rank().over(Window.orderBy(F.desc("pct")))).withColumn("bottom", F.rank().over(Window.orderBy("pct")))
+    return o.withColumn("top", F.rank().over(Window.orderBy(F.desc("pct"))).cast("long")).withColumn("bottom", F.rank().over(Window.orderBy("pct")).cast("long"))
 
 
 @C.add("WITH m AS (SELECT continent, round(avg(dof_all) + 1e-7, 4) AS mean FROM la WHERE snap_year = 2020 AND continent IS NOT NULL GROUP BY 1) SELECT continent, mean, rank() OVER (ORDER BY mean DESC) AS r, mean > avg(mean) OVER () AS above FROM m", "la")
 def rpt2_continent_ranking(spark, d):
     m = layer(spark, d).where("snap_year = 2020 AND continent IS NOT NULL").groupBy("continent").agg(settled(F.avg("dof_all"), 4).alias("mean"))
-    return m.withColumn("r", F.rank().over(Window.orderBy(F.desc("mean")))).withColumn("above", F.col("mean") > F.avg("mean").over(Window.partitionBy()))
+    return m.withColumn("r", F.rank().over(Window.orderBy(F.desc("mean"))).cast("long")).withColumn("above", F.col("mean") > F.avg("mean").over(Window.partitionBy()))
 
 
 _BASIN_FR = ", bf AS (SELECT hybas_id, count(*) AS n, sum(length_km) AS km, avg(dof_all) AS mean, median(dof_all) AS med, sum(length_km) / count(*) AS density FROM fg WHERE hybas_id IS NOT NULL GROUP BY 1)"
@@ -339,7 +339,7 @@ def rpt3_correlations(spark, d):
 def rpt4_skewed_basins(spark, d):
     """Density ranking, and basins whose mean is far above their median."""
     b = by_basin(spark, d).withColumn("density", settled("density", 4))
-    return b.select("hybas_id", "n", "density", F.rank().over(Window.orderBy(F.desc("density"))).alias("r"), ((F.col("mean") > 30) & (F.col("med") < 10)).alias("skewed"))
+    return b.select("hybas_id", "n", "density", F.rank().over(Window.orderBy(F.desc("density"))).cast("long").alias("r"), ((F.col("mean") > 30) & (F.col("med") < 10)).alias("skewed"))
 
 
 @C.add("WITH " + _FR + ", c AS (SELECT cls, avg(dis) AS m FROM fg WHERE cls IS NOT NULL GROUP BY 1), u AS (SELECT m AS u FROM c WHERE cls = 0) SELECT cls, round(m / u + 1e-7, 4) AS ratio, rank() OVER (ORDER BY m DESC) AS r, m > lag(m) OVER (ORDER BY cls) AS rising FROM c, u", "la re")
@@ -347,7 +347,7 @@ def rpt5_discharge_ratios(spark, d):
     """Mean discharge of the classes against the unfragmented one, ranks, and whether it rises from class to class."""
     c = classed(spark, d).where("cls IS NOT NULL").groupBy("cls").agg(F.avg("dis").alias("m"))
     unfragmented = F.max(F.when(F.col("cls") == 0, F.col("m"))).over(Window.partitionBy())
-    return c.select("cls", settled(F.col("m") / unfragmented, 4).alias("ratio"), F.rank().over(Window.orderBy(F.desc("m"))).alias("r"), (F.col("m") > F.lag("m").over(Window.orderBy("cls"))).alias("rising"))
+    return c.select("cls", settled(F.col("m") / unfragmented, 4).alias("ratio"), F.rank().over(Window.orderBy(F.desc("m"))).cast("long").alias("r"), (F.col("m") > F.lag("m").over(Window.orderBy("cls"))).alias("rising"))
 
 
 @C.add("SELECT coalesce(CAST(snap_year AS VARCHAR), 'all') AS file, round(count(*) FILTER (WHERE dof_all = 0) * 100.0::DOUBLE / count(*) + 1e-7, 3) AS free_pct, round(count(*) FILTER (WHERE dof_all > 50) * 100.0::DOUBLE / count(*) + 1e-7, 3) AS high_pct, round(coalesce(sum(length_km) FILTER (WHERE dof_all > 50), 0) * 100 / sum(length_km) + 1e-7, 3) AS high_km_pct FROM la JOIN re USING (goid) GROUP BY GROUPING SETS ((snap_year), ())", "la re")
@@ -391,7 +391,7 @@ def srt4_top_per_group(spark, d):
     p = dams(spark, d).where("hybas_id IS NOT NULL").select("hybas_id", "dam_id", "stor_mcm")
     order = [F.desc("stor_mcm"), F.asc("dam_id")]
     some = p.withColumn("_s", F.pmod(F.xxhash64("dam_id"), F.lit(32))).withColumn("r", F.row_number().over(Window.partitionBy("hybas_id", "_s").orderBy(*order))).where("r <= 3").drop("r")
-    return some.withColumn("r", F.row_number().over(Window.partitionBy("hybas_id").orderBy(*order))).where("r <= 3").select("hybas_id", "dam_id", "r")
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("hybas_id").orderBy(*order))).where("r <= 3").select("hybas_id", "dam_id", F.col("r").cast("long").alias("r"))
 
 
 @C.add("SELECT hybas_id, arg_max(dam_id, struct_pack(a := stor_mcm, b := -dam_id)) AS largest, arg_min(dam_id, struct_pack(a := stor_mcm, b := dam_id)) AS smallest FROM da WHERE hybas_id IS NOT NULL GROUP BY 1", "da")

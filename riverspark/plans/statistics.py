@@ -120,7 +120,7 @@ def sta9_moran_by_class(spark, d):
     return f.select("continent", "variable", F.round("i", 5).alias("i"), F.round("z", 4).alias("z"), F.round("p_adj", 5).alias("p_adj"), stars(F.col("p_adj")).alias("marks"), moran_label(F.col("i"), F.col("p_adj")).alias("label"))
 
 
-@C.add("SELECT regr_count(y, x) AS n, round(regr_r2(y, x) + 1e-7, 4) AS r2, round(regr_slope(y, x) + 1e-6, 3) AS slope, round(regr_intercept(y, x) + 1e-6, 3) AS intercept FROM (SELECT CAST(e20 AS DOUBLE) AS y, hdi AS x FROM bsn WHERE hdi IS NOT NULL)", "bsn")
+@C.add("SELECT CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_r2(y, x) + 1e-7, 4) AS r2, round(regr_slope(y, x) + 1e-6, 3) AS slope, round(regr_intercept(y, x) + 1e-6, 3) AS intercept FROM (SELECT CAST(e20 AS DOUBLE) AS y, hdi AS x FROM bsn WHERE hdi IS NOT NULL)", "bsn")
 def sta10_ols_one(spark, d):
     """Least squares on one column, against the engine's own regression in SQL."""
     f = ols(basin_table(spark, d).withColumn("e20", F.col("e20").cast("double")), "e20", ["hdi"])
