@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riverspark.operators.ordering import positions
 from riverspark.session import cut
 
 MAX_ROUNDS = 100_000
@@ -187,6 +188,10 @@ def river_status(rows: DataFrame) -> DataFrame:
 
 
 def dense_ids(net: DataFrame, basin: str, order: list[str], key: str) -> DataFrame:
-    """(key, basin, idx): 1, 2, … per basin in the given order; nulls last, ties by key."""
-    w = Window.partitionBy(basin).orderBy(*[F.col(c).asc_nulls_last() for c in order], key)
-    return net.select(key, basin, F.row_number().over(w).cast("long").alias("idx"))
+    """(key, basin, idx): 1, 2, … per basin in the given order; nulls last, ties by key; null basins are one group.
+
+    Positions in the order of (basin, order, key) less the basin's first one: no basin is sorted by one task.
+    """
+    p = positions(net.select(key, basin, *order), [basin, *order, key])
+    first = p.groupBy(F.col(basin).alias("_b")).agg(F.min("pos").alias("_first"))
+    return p.join(first, F.col(basin).eqNullSafe(F.col("_b"))).select(key, basin, (F.col("pos") - F.col("_first") + 1).alias("idx"))
