@@ -28,8 +28,8 @@ CLASSES = ((40, 1), (10**9, 2))
 EXACT_WORDS, LOOSE_WORDS, LOOSE_SHARE = 16, 25, 6
 #: Words of a run that several items share from which on it is shared wording, no part of an item.
 SHARED_WORDS = EXACT_WORDS
-#: Items held in a task at once; more are searched in blocks, each against all documents.
-BLOCK_ITEMS = 20_000
+#: Items, and about how many of their characters, are held in a task at once; more are searched in blocks, each against all documents.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 REACH, SHIFT = 52, 5
 
 
@@ -201,13 +201,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     are held by nothing; parts and texts below 16 words can't be cases. Whole texts of any length are searched, copies of
     a document are documents of their own, and repeated rows give one row. Columns not named are ignored.
 
-    One pass over the documents for each block of block_items items, which bounds what a task is sent; no shuffle of texts.
+    One pass over the documents for each block of block_items items (or 20 million characters of them), which bounds what a task is sent; no shuffle of texts.
     """
     spark = docs.sparkSession
     slim = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), *[F.col(p).cast("string").alias(f"part{i}") for i, p in enumerate(parts)]).distinct()
     sh = slim.mapInPandas(_item_shingles, "item_id long, h long").distinct()
     shared = sh.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    blocks = max(1, math.ceil(slim.count() / block_items))
+    size = slim.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.coalesce(F.length(f"part{i}"), F.lit(0)) for i in range(1, len(parts))), F.coalesce(F.length("part0"), F.lit(0))).cast("long")).alias("chars")).first()
+    blocks = max(1, math.ceil(size["n"] / block_items), math.ceil((size["chars"] or 0) / BLOCK_CHARS))
     own = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = None
     for k in range(blocks):
