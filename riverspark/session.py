@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="riverspark-cut-")
         sc.setCheckpointDir(folder)
