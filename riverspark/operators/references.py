@@ -80,19 +80,25 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
     found = cut(found, "orphans0")
     inner, leaves = [k for k in keys if k.child in parents], [k for k in keys if k.child not in parents and k.parent in {x.child for x in keys}]
     edges = [(k, cut(refs(k).distinct(), "refs"), cut(owners(k), "owners")) for k in inner]
-    shared = {id(own): not own.groupBy("ref").count().where("count > 1").isEmpty() for _, _, own in edges}
+    shared = [not own.groupBy("ref").agg(F.min("rec_id").alias("a"), F.max("rec_id").alias("b")).where("a <> b").isEmpty() for _, _, own in edges]
+    # where a key has one record, children are tied to it once, and a round is one semi-join
+    links = [None if many else cut(ref.join(own, "ref").where(_holds("valid_from", "valid_to")).select("period", "_p", ref["rec_id"], "ref", own["rec_id"].alias("_parent")).distinct(), "links") for (_, ref, own), many in zip(edges, shared)]
     seen = frontier = cut(found.where(F.col("src_table").isin(list(parents))).select("src_table", "rec_id", "_p", "level").distinct(), "orphan-records0")
     level = 0
     while level < max_rounds and not frontier.isEmpty():
         level += 1
         new = None
-        for k, ref, own in edges:
+        for (k, ref, own), link in zip(edges, links):
             fresh = frontier.where(F.col("src_table") == k.parent).select("rec_id", "_p")
+            if link is not None:
+                one = shaped(link.join(fresh.withColumnRenamed("rec_id", "_parent"), ["_parent", "_p"], "left_semi"), k, F.lit(level))
+                new = one if new is None else new.unionByName(one)
+                continue
+            # a key of several rows is lost when the last of them is
             dead = own.join(fresh, "rec_id").where(_holds("valid_from", "valid_to")).select("ref", "_p").distinct()
-            if shared[id(own)]:  # a key of several rows is lost when the last of them is
-                bad = seen.where(F.col("src_table") == k.parent).select("rec_id", "_p")
-                holders = own.join(dead, "ref").where(_holds("valid_from", "valid_to")).select("rec_id", "ref", "_p")
-                dead = dead.join(holders.join(bad, ["rec_id", "_p"], "left_anti").select("ref", "_p").distinct(), ["ref", "_p"], "left_anti")
+            bad = seen.where(F.col("src_table") == k.parent).select("rec_id", "_p")
+            holders = own.join(dead, "ref").where(_holds("valid_from", "valid_to")).select("rec_id", "ref", "_p")
+            dead = dead.join(holders.join(bad, ["rec_id", "_p"], "left_anti").select("ref", "_p").distinct(), ["ref", "_p"], "left_anti")
             one = shaped(ref.join(dead, ["ref", "_p"], "left_semi"), k, F.lit(level))
             new = one if new is None else new.unionByName(one)
         if new is None:
