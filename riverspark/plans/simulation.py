@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverspark.operators.network import barrier_scores
-from riverspark.operators.simulation import RECALL, RECALL_ELSE, convergence, empirical, recall_of, running_error, thinned, with_missed
-from riverspark.plans.base import Catalog, basin_table, dams, settled
+from riverspark.operators.simulation import RECALL, RECALL_ELSE, convergence, empirical, first_present, group_means, recall_of, running_error, strong_uniform, thinned, uniform, with_missed
+from riverspark.plans.base import YEARS, Catalog, basin_table, dams, settled
 from riverspark.plans.routing import NETWORK, network
+from riverspark.session import cut
 
 C = Catalog()
 SIMS, SEED = 20, 42
+#: Simulations of the whole assessment. Queries beside SQL run SIMS or 10 of them, as their SQL says; mcN_whole run all, with independent draws.
+WHOLE = 1000
 
 _U = "((((({k} % 2147483647) * 48271 + sim * 69621 + 42 * 16807) % 2147483647 * 48271 % 2147483647) + sim * 40692) * 69621 % 2147483647) / CAST(2147483647 AS DOUBLE)"
 KEPT = f"kp AS (SELECT d.*, sim FROM da d, (SELECT range AS sim FROM range(1, {SIMS + 1})) s WHERE coalesce(is_certain, false) OR {_U.format(k='dam_id')} < confidence)"
 
 
-def kept(spark: SparkSession, d: str, sims: int = SIMS) -> DataFrame:
-    return thinned(dams(spark, d).select("dam_id", "dam_type", "hybas_id", "goid", "first_year", "is_certain", "confidence", "z_level", "inc"), "dam_id", F.col("is_certain"), F.col("confidence"), sims, SEED)
+def kept(spark: SparkSession, d: str, sims: int = SIMS, draw=uniform) -> DataFrame:
+    return thinned(dams(spark, d).select("dam_id", "dam_type", "hybas_id", "goid", "first_year", "is_certain", "confidence", "z_level", "inc"), "dam_id", F.col("is_certain"), F.col("confidence"), sims, SEED, draw)
 
 
 @C.add("WITH " + KEPT + " SELECT CAST(sim AS INT) AS sim, first_year, count(*) AS n FROM kp GROUP BY 1, 2", "da")
@@ -87,10 +90,10 @@ def mc5_empirical(spark, d):
 COUNTS = KEPT + ", ct AS (SELECT b.hybas_id, CAST(s.range AS INT) AS sim, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT hybas_id FROM da WHERE hybas_id IS NOT NULL) b CROSS JOIN range(1, 21) s LEFT JOIN (SELECT hybas_id, sim, count(*) AS n FROM kp GROUP BY 1, 2) k ON k.hybas_id = b.hybas_id AND k.sim = s.range)"
 
 
-def counts(spark: SparkSession, d: str) -> DataFrame:
+def counts(spark: SparkSession, d: str, sims: int = SIMS, draw=uniform) -> DataFrame:
     """(hybas_id, sim, v): dams kept, 0 where none is."""
-    n = kept(spark, d).where("hybas_id IS NOT NULL").groupBy("hybas_id", "sim").agg(F.count(F.lit(1)).alias("n"))
-    every = dams(spark, d).where("hybas_id IS NOT NULL").select("hybas_id").distinct().withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(SIMS))))
+    n = kept(spark, d, sims, draw).where("hybas_id IS NOT NULL").groupBy("hybas_id", "sim").agg(F.count(F.lit(1)).alias("n"))
+    every = dams(spark, d).where("hybas_id IS NOT NULL").select("hybas_id").distinct().withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
     return every.join(n, ["hybas_id", "sim"], "left").select("hybas_id", "sim", F.coalesce("n", F.lit(0)).cast("double").alias("v"))
 
 
@@ -135,6 +138,60 @@ def mc10_static_and_simulated(spark, d):
 @C.add(f"SELECT dam_id, CAST(sim AS INT) AS sim, {_U.format(k='dam_id')} AS u FROM da, (SELECT range AS sim FROM range(1, 4)) s", "da")
 def mc11_uniforms(spark, d):
     """The uniforms themselves, from (seed, simulation, dam)."""
-    from riverspark.operators.simulation import uniform
-
     return dams(spark, d).select("dam_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("sim")).select("dam_id", "sim", uniform(F.col("dam_id"), F.col("sim"), SEED).alias("u"))
+
+
+@C.add()
+def mc1_whole(spark, d):
+    """Dams kept by each of all simulations and year."""
+    return kept(spark, d, WHOLE, strong_uniform).groupBy("sim", "first_year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@C.add()
+def mc2_whole(spark, d):
+    """Dams kept and missed per basin over all simulations, and their density."""
+    m = with_missed(kept(spark, d, WHOLE, strong_uniform).where("hybas_id IS NOT NULL"), basin_recall(spark, d), "hybas_id", SEED)
+    a = basin_table(spark, d).select("hybas_id", F.when(F.col("area") > 0, F.col("area")).alias("area"))
+    return m.join(a, "hybas_id", "left").select("hybas_id", "sim", "n_true", "n_missed", F.round((F.col("n_true") + F.col("n_missed")) / F.col("area"), 6).alias("density"))
+
+
+def presence(spark: SparkSession, d: str, sims: int, years: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The network, and floors and hits of its reaches (first_present). A dam counts from its first_year on; walks are made once."""
+    n = cut(network(spark, d), "routed")
+    inc = dams(spark, d).where("inc = 1 AND goid IS NOT NULL")
+    scores = barrier_scores(n, inc.select(F.col("goid").alias("node"), F.col("goid").alias("src")).distinct(), carry=["src"]).groupBy("src", "node").agg(F.max("s").alias("s"))
+    records = inc.select(F.col("dam_id").alias("key"), F.col("goid").alias("src"), "first_year", F.col("is_certain").alias("certain"), "confidence")
+    return n, *first_present(scores, records, years, sims, SEED)
+
+
+def whole_dof(spark: SparkSession, d: str, sims: int = WHOLE, years: tuple[int, ...] = YEARS) -> DataFrame:
+    """(hybas_id, year, sim, dof): mean DOF of each basin, year and simulation; 0 where a simulation has no dam."""
+    n, floors, hits = presence(spark, d, sims, years)
+    return group_means(n, "hybas_id", floors, hits, years, sims).withColumnRenamed("mean", "dof")
+
+
+@C.add()
+def mc4_whole(spark, d):
+    """Mean DOF of each basin, year and simulation."""
+    return whole_dof(spark, d).select("hybas_id", "year", "sim", settled("dof", 4).alias("dof"))
+
+
+@C.add()
+def mc5_whole_basins(spark, d):
+    """Mean and interval of each basin's DOF in each year, over all simulations."""
+    e = empirical(whole_dof(spark, d), ["hybas_id", "year"], "dof")
+    return e.select("hybas_id", "year", "n", settled("mean", 4).alias("mean"), settled("low", 4).alias("low"), settled("high", 4).alias("high"))
+
+
+@C.add()
+def mc6_whole(spark, d):
+    """Mean and interval of each basin's dams over all simulations."""
+    e = empirical(counts(spark, d, WHOLE, strong_uniform), ["hybas_id"], "v")
+    return e.select("hybas_id", settled("mean", 4).alias("mean"), settled("low", 4).alias("low"), settled("high", 4).alias("high"))
+
+
+@C.add()
+def mc10_whole(spark, d):
+    """Fixed counts once, beside those of all simulations."""
+    s = dams(spark, d).where("hybas_id IS NOT NULL AND is_certain").groupBy("hybas_id").agg(F.count(F.lit(1)).cast("double").alias("n")).select("hybas_id", "n", F.lit("static").alias("kind"), F.lit(None).cast("int").alias("sim"))
+    return counts(spark, d, WHOLE, strong_uniform).select("hybas_id", F.col("v").alias("n"), F.lit("sim").alias("kind"), "sim").unionByName(s)
