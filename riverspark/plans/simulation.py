@@ -195,3 +195,54 @@ def mc10_whole(spark, d):
     """Fixed counts once, beside those of all simulations."""
     s = dams(spark, d).where("hybas_id IS NOT NULL AND is_certain").groupBy("hybas_id").agg(F.count(F.lit(1)).cast("double").alias("n")).select("hybas_id", "n", F.lit("static").alias("kind"), F.lit(None).cast("int").alias("sim"))
     return counts(spark, d, WHOLE, strong_uniform).select("hybas_id", F.col("v").alias("n"), F.lit("sim").alias("kind"), "sim").unionByName(s)
+
+
+#: Uncertain dams of 2020 in a basin from which a stratum begins; basins without any are in none.
+STRATA = (1, 10, 100, 1000, 10000)
+CONVERGENCE, SHARES = 2000, [0.5, 0.2, 0.1, 0.05, 0.01]
+
+
+def whole_errors(spark: SparkSession, d: str) -> DataFrame:
+    """(scope, hybas_id, sim, k, mean, se) of the DOF of 2020: of each basin, and of the mean over all basins (hybas_id null)."""
+    dof = cut(whole_dof(spark, d, CONVERGENCE, (2020,)).select("hybas_id", "sim", "dof"), "dof2020")
+    own = running_error(dof, ["hybas_id"], "dof").withColumn("scope", F.lit("basin"))
+    mean = dof.groupBy("sim").agg(F.avg("dof").alias("dof")).select(F.lit("all").alias("scope"), F.lit(None).cast("long").alias("hybas_id"), "sim", "dof")
+    return own.unionByName(running_error(mean, ["scope", "hybas_id"], "dof")).withColumn("se", F.round("se", 9))
+
+
+@C.add()
+def mc7_whole(spark, d):
+    """Running mean and error of DOF over 2000 simulations of 2020, per basin and over all basins."""
+    return whole_errors(spark, d).select("scope", "hybas_id", "sim", "k", settled("mean", 4).alias("mean"), settled("se", 6).alias("se"))
+
+
+def converged(errors: DataFrame) -> DataFrame:
+    """(scope, hybas_id, share, k): the first simulation whose error is at most a share of the largest of the first 20; null if none is.
+
+    An error of 0 (the first simulation's, or of a basin that doesn't vary) is no error yet.
+    """
+    keys = errors.select("scope", "hybas_id").distinct().withColumn("share", F.explode(F.array(*[F.lit(s) for s in SHARES])))
+    some = errors.where("se > 0").withColumn("basin", F.coalesce("hybas_id", F.lit(-1)))
+    k = convergence(some, ["scope", "basin"], SHARES)
+    return keys.join(k.withColumnRenamed("scope", "_s").withColumnRenamed("share", "_f"), (F.col("scope") == F.col("_s")) & (F.col("share") == F.col("_f")) & (F.coalesce("hybas_id", F.lit(-1)) == F.col("basin")), "left").select("scope", "hybas_id", "share", "k")
+
+
+@C.add()
+def mc8_whole(spark, d):
+    """First simulation of 2000 from which the error is 50, 20, 10, 5 and 1 % of the largest early one, per basin and over all basins."""
+    return converged(whole_errors(spark, d))
+
+
+def uncertain(spark: SparkSession, d: str) -> DataFrame:
+    """(hybas_id, n): uncertain dams of 2020."""
+    return dams(spark, d).where("inc = 1 AND first_year <= 2020 AND hybas_id IS NOT NULL").groupBy("hybas_id").agg(F.count_if(~F.coalesce("is_certain", F.lit(False))).alias("n"))
+
+
+@C.add()
+def mc9_whole(spark, d):
+    """Quartiles of the error of 2020 by stratum of uncertain dams and k, from the second simulation on; errors of 0 don't count."""
+    stratum = sum((F.col("n") >= low).cast("int") for low in STRATA)
+    st = uncertain(spark, d).withColumn("stratum", stratum).where("stratum > 0").select("hybas_id", "stratum")
+    e = whole_errors(spark, d).where("scope = 'basin' AND k > 1").join(st, "hybas_id")
+    g = e.groupBy("stratum", "k").agg(F.count(F.lit(1)).alias("n"), F.percentile(F.when(F.col("se") > 0, F.col("se")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    return g.select("stratum", "k", "n", *[settled(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])

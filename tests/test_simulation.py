@@ -47,3 +47,30 @@ def test_whole_queries_run_all_simulations(spark):
     assert q["mc1_whole"](spark, d).agg(F.max("sim")).first()[0] == 1000
     for name in ("mc2_whole", "mc10_whole"):
         assert q[name](spark, d).agg(F.max("sim")).first()[0] == 1000
+
+
+def test_convergence_of_dof_with_the_global_series(spark):
+    import __spark_entry__ as e
+    from riverspark.plans.simulation import converged, whole_dof
+
+    d, q = "/root/testdata/sf0.001", e.queries()
+    dof = defaultdict(dict)
+    for r in whole_dof(spark, d, 2000, (2020,)).collect():
+        dof[r["hybas_id"]][r["sim"]] = r["dof"]
+    x = np.array([[v[i] for i in range(1, 2001)] for v in dof.values()])
+    series = dict(zip(dof, x)) | {None: x.mean(axis=0)}
+    got = {(r["scope"], r["hybas_id"], r["share"]): r["k"] for r in q["mc8_whole"](spark, d).collect()}
+    assert len(got) == 5 * len(series)
+    varied = 0
+    for b, v in series.items():
+        se = np.round([v[:i].std() / np.sqrt(i) for i in range(1, 2001)], 9)
+        se = np.where(se > 0, se, np.nan)
+        if np.isnan(se[:20]).all():  # no early error to compare with
+            continue
+        varied += 1
+        for share in (0.5, 0.2, 0.1, 0.05, 0.01):
+            at = np.where(se <= np.nanmax(se[:20]) * share)[0]
+            assert got["all" if b is None else "basin", b, share] == (at[0] + 1 if len(at) else None)
+    assert varied > 5 and got["all", None, 0.1] > 20
+    still = spark.createDataFrame([("basin", 1, k, 0.0) for k in range(1, 30)], "scope string, hybas_id long, k int, se double")
+    assert [r["k"] for r in converged(still).collect()] == [None] * 5
