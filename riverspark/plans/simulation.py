@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverspark.operators.network import barrier_scores
-from riverspark.operators.simulation import RECALL, RECALL_ELSE, convergence, empirical, first_present, group_means, recall_of, running_error, strong_uniform, thinned, uniform, with_missed
+from riverspark.operators.simulation import RECALL, RECALL_ELSE, convergence, empirical, first_present, group_means, recall_of, running_error, segment_statistics, strong_uniform, thinned, uniform, with_missed
 from riverspark.plans.base import YEARS, Catalog, basin_table, dams, settled
 from riverspark.plans.routing import NETWORK, network
 from riverspark.session import cut
@@ -183,6 +183,13 @@ def mc5_whole_basins(spark, d):
     return e.select("hybas_id", "year", "n", settled("mean", 4).alias("mean"), settled("low", 4).alias("low"), settled("high", 4).alias("high"))
 
 
+@C.add()
+def mc5_whole_reaches(spark, d):
+    """Mean and interval of each reach's DOF in each year, over all simulations."""
+    e = segment_statistics(*presence(spark, d, WHOLE, YEARS), YEARS, WHOLE)
+    return e.select(F.col("node").alias("goid"), "year", "n", settled("mean", 4).alias("mean"), settled("low", 4).alias("low"), settled("high", 4).alias("high"))
+
+
 @C.add()
 def mc6_whole(spark, d):
     """Mean and interval of each basin's dams over all simulations."""

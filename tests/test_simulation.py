@@ -36,6 +36,26 @@ def test_group_means_equal_brute_force(spark):
     assert {got["a", 2010, i] for i in range(1, SIMS + 1)} == {0.0, 30.0, 80.0}  # dams of later years aren't there yet
 
 
+def test_segment_statistics_equal_brute_force(spark):
+    nodes, values, floors, hits = brute(spark)
+    got = {(r["node"], r["year"]): r for r in segment_statistics(nodes, floors, hits, YEARS, SIMS).collect()}
+    assert len(got) == len(NODES) * len(YEARS)
+    for (n, y), r in got.items():
+        v = [values[n, y, i] for i in range(1, SIMS + 1)]
+        assert (r["n"], r["mean"], r["low"], r["high"]) == (SIMS, *[pytest.approx(x) for x in (np.mean(v), *np.percentile(v, [2.5, 97.5]))])
+    assert got[11, 2010]["mean"] < got[11, 2015]["mean"] and got[12, 2020]["low"] == 100.0
+
+
+def test_every_reach_has_an_interval_in_every_year(spark):
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    r = e.queries()["mc5_whole_reaches"](spark, d)
+    assert r.count() == 3 * e.queries()["net1_dof"](spark, d).count() and r.where("low > high OR low < 0 OR high > 100 OR n <> 1000").isEmpty()
+    by_year = {x["year"]: x["m"] for x in r.groupBy("year").agg(F.avg("mean").alias("m")).collect()}
+    assert by_year[2010] < by_year[2015] < by_year[2020]
+
+
 def test_whole_queries_run_all_simulations(spark):
     import __spark_entry__ as e
     from riverspark.plans.simulation import WHOLE
