@@ -92,26 +92,110 @@ def pipe2_fragmentation(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("dof") > 0).alias("touched"), settled(F.avg("dof"), 3).alias("mean_dof"))
 
 
+#: Attributes that explain, and dam types: e and total change with each simulation.
+EXPLAIN, MOVING, STILL = ["hdi", "lka", "area"], ["e", "total"], ["g", "b", "a"]
+
+
+def simulated_growth(spark: SparkSession, d: str, sims: int, seed: int) -> DataFrame:
+    """(sim, hybas_id, grown): embankment dams of 2020 less those of 2010, kept and missed, where a basin has any."""
+    from riverspark.functions.special import poisson_draw
+    from riverspark.operators.simulation import RECALL_ELSE, recall_of, strong_uniform, thinned
+
+    years = (2010, 2020)
+    e = dams(spark, d).where("hybas_id IS NOT NULL AND dam_type = 'embankment_dam'").select("dam_id", "hybas_id", "first_year", "is_certain", "confidence", "z_level")
+    r = e.groupBy("hybas_id").agg(*[F.coalesce(F.avg(F.when(F.col("first_year") <= y, recall_of(F.col("z_level")))), F.lit(RECALL_ELSE)).alias(f"r{y}") for y in years])
+    n = thinned(e, "dam_id", F.col("is_certain"), F.col("confidence"), sims, seed, strong_uniform).groupBy("hybas_id", "sim").agg(*[F.count_if(F.col("first_year") <= y).alias(f"n{y}") for y in years])
+    missed = lambda y: poisson_draw(F.col(f"n{y}") * (F.lit(1.0) - F.col(f"r{y}")) / F.col(f"r{y}"), strong_uniform(F.col("hybas_id"), F.col("sim"), seed + y))
+    return n.join(r, "hybas_id").select("sim", "hybas_id", (F.col("n2020") + missed(2020) - F.col("n2010") - missed(2010)).cast("double").alias("grown"))
+
+
+def models(spark: SparkSession, d: str):
+    """Per region its places of each set, its model and attributes: fixed, since the basins are (180 rows)."""
+    import numpy as np
+
+    from riverspark.functions.classes import latitude_class
+    from riverspark.operators.propagation import LEAST, Model, Places
+    from riverspark.operators.spatial import knn
+    from riverspark.plans.base import basin_table
+    from riverspark.plans.joins import places
+
+    p = places(spark, d).select("id", "lon", "lat", F.explode(F.array(F.lit("Global"), latitude_class(F.col("lat")))).alias("region")).where("region IS NOT NULL")
+    change = [(F.col(f"{t}20") - F.col(f"{t}10")).cast("double").alias(t) for t in STILL]
+    b = basin_table(spark, d).select(F.col("hybas_id").alias("id"), *change, *[F.col(c).cast("double").alias(c) for c in EXPLAIN]).withColumn("land", F.when(F.col("area") > 0, F.col("area")))
+    known = {"dams": F.col("land").isNotNull(), **{c: F.col(c).isNotNull() for c in EXPLAIN}, "model": F.col("land").isNotNull() & F.col("hdi").isNotNull() & F.col("lka").isNotNull()}
+    sets = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in known.items()]))).alias("set")
+    rows = cut(p.join(b, "id").select("*", sets), "places")
+    pairs, members, values = {}, {}, {}
+    for x in rows.collect():
+        members.setdefault((x["region"], x["set"]), []).append(x["id"])
+        values[x["id"]] = x.asDict()
+    for x in knn(rows.select("region", "set", "id", "lon", "lat"), 5, ["region", "set"]).collect():
+        pairs.setdefault((x["region"], x["set"]), []).append((x["i"], x["j"], x["w"]))
+    out = {}
+    for (region, kind), ids in members.items():
+        ids.sort()
+        if len(ids) >= (LEAST if kind != "model" else len(EXPLAIN) + LEAST):
+            x = np.array([[values[i][c] for c in EXPLAIN] for i in ids]) if kind == "model" else None
+            out[region, kind] = Places(ids, pairs[region, kind]) if x is None else Model(ids, pairs[region, kind], x)
+    return out, values
+
+
+def assessed(fixed: dict, types: dict) -> list[tuple]:
+    """(kind, region, dam_type, variable, measure, value) of the densities of each type {id: value}."""
+    import numpy as np
+
+    out = []
+    for (region, kind), m in fixed.items():
+        for t, v in types.items() if kind in ("dams", "model") else ():
+            y = np.array([v[i] for i in m.ids])
+            if kind == "dams":
+                out += [("moran", region, t, None, k, float(x)) for k, x in m.moran(y).items()]
+            else:
+                quality, columns = m.fit(y)
+                out += [("fit", region, t, None, k, float(x)) for k, x in quality.items()]
+                out += [("effects", region, t, c, k, float(x)) for c, own in zip(EXPLAIN, columns) for k, x in own.items()]
+    return out
+
+
 @C.add()
 def pipe3_regression_with_uncertainty(spark, d):
-    """Coefficients of dams on basin attributes over simulations of uncertain dams: mean and 95 % interval of each.
+    """Moran's I, fits of least squares and of the lag model, and effects of basin attributes on the growth of dam density
+    from 2010 to 2020, by region and dam type: mean and 95 % interval over 1000 simulations of uncertain and missed dams.
 
-    The columns and their Gram matrix don't change between simulations, so one pass gives the products of all simulated
-    totals with the columns; a small solve per simulation follows.
+    kind, region, dam_type (of Moran's I also the attributes), variable, measure; p_adj and marks stand beside p-values,
+    label beside i (and resid_i). Weights, inverses and eigenvalues are made once; what no simulation changes is fitted once.
     """
     import numpy as np
+    import pandas as pd
 
+    from riverspark.functions.classes import moran_label, stars
     from riverspark.operators.simulation import empirical
-    from riverspark.operators.statistics import gram
-    from riverspark.plans.base import basin_table
-    from riverspark.plans.simulation import counts
-
-    xs = ["hdi", "lka", "area"]
-    x = basin_table(spark, d).select("hybas_id", *xs).na.drop()
-    n, mean, g = gram(x, xs)
-    centred = [(F.col(c) - F.lit(float(m))) for c, m in zip(xs, mean)]
-    moments = counts(spark, d).join(x, "hybas_id").groupBy("sim").agg(F.avg("v").alias("my"), *[F.sum(c * F.col("v")).alias(f"p{k}") for k, c in enumerate(centred)])
-    inverse = np.linalg.pinv(g)
-    slopes = [sum((F.col(f"p{j}") * F.lit(float(inverse[i, j])) for j in range(1, len(xs))), F.col("p0") * F.lit(float(inverse[i, 0]))) for i in range(len(xs))]
-    rows = moments.select("sim", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), s.alias("value")) for c, s in zip(xs, slopes)])).alias("s")).select("sim", "s.*")
-    return empirical(rows, ["name"], "value")
+    from riverspark.operators.statistics import fdr
+    from riverspark.plans.simulation import SEED, WHOLE
+
+    fixed, values = models(spark, d)
+    area = {i: v["land"] for i, v in values.items() if v["land"]}
+    still = {t: {i: values[i][t] / a for i, a in area.items()} for t in STILL}
+    once = assessed(fixed, still)
+    for (region, kind), m in fixed.items():
+        if kind in EXPLAIN:
+            once += [("moran", region, kind, None, k, float(x)) for k, x in m.moran(np.array([values[i][kind] for i in m.ids])).items()]
+    shape = "kind string, region string, dam_type string, variable string, measure string, value double"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        grown = dict(zip(g["hybas_id"], g["grown"]))
+        e = {i: grown.get(i, 0.0) / a for i, a in area.items()}
+        return pd.DataFrame(assessed(fixed, {"e": e, "total": {i: v + sum(still[t][i] for t in STILL) for i, v in e.items()}}), columns=[c.split()[0] for c in shape.split(", ")])
+
+    keys = ["kind", "region", "dam_type", "variable", "measure"]
+    # a row of no basin for each simulation, so that one without dams counts too
+    every = spark.range(1, WHOLE + 1).select(F.col("id").cast("int").alias("sim"), F.lit(-1).cast("long").alias("hybas_id"), F.lit(0.0).alias("grown"))
+    moving = empirical(simulated_growth(spark, d, WHOLE, SEED).unionByName(every).groupBy("sim").applyInPandas(run, shape), keys, "value")
+    same = spark.createDataFrame(once, shape).withColumn("v", F.when(~F.isnan("value"), F.col("value")))
+    r = cut(moving.unionByName(same.select(*keys, F.when(F.col("v").isNull(), 0).otherwise(WHOLE).cast("long").alias("n"), F.col("v").alias("mean"), F.col("v").alias("low"), F.col("v").alias("high"))), "assessed")
+    tests = r.where("measure = 'p_value'").select("kind", "region", "dam_type", "variable", "mean", F.concat_ws("|", "kind", "region").alias("family"), F.concat_ws("|", "dam_type", "variable").alias("test"))
+    adjusted = fdr(tests, "family", "mean", "test").select(F.concat_ws("|", "family", "test").alias("t"), "p_adj")
+    p_of = r.where("measure IN ('p_value', 'resid_p')").select(F.concat_ws("|", "kind", "region", "dam_type", "variable", F.when(F.col("measure") == "resid_p", "resid_i").otherwise("i")).alias("l"), F.col("mean").alias("_p"))
+    j = r.join(adjusted, (F.col("measure") == "p_value") & (F.concat_ws("|", "kind", "region", "dam_type", "variable") == F.col("t")), "left").join(p_of, F.concat_ws("|", *keys) == F.col("l"), "left")
+    marks = F.when(F.col("measure") == "p_value", stars(F.col("p_adj"))).when(F.col("measure") == "rho_p", stars(F.col("mean")))
+    return j.select(*keys, "n", "mean", "low", "high", "p_adj", marks.alias("marks"), F.when(F.col("measure").isin("i", "resid_i"), moran_label(F.col("mean"), F.col("_p"))).alias("label"))
