@@ -2,16 +2,16 @@
 
 Sizes are tokens of a public tokenizer. Each source is a task whose weight is its share; its i-th block may start at
 floor((i-1)/w) and is due at ceil(i/w). Earliest deadline first among the released blocks keeps every source less than
-one block off its share at every position. The schedule repeats after CYCLE blocks, so it is computed once for a cycle,
-and documents find their position by arithmetic.
+one block off its share at every position. The schedule repeats after CYCLE blocks (up to MAX_CYCLE for a source with too
+small a share for one block of CYCLE), so it is computed once for a cycle, and documents find their position by arithmetic.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from riverspark.session import cut
 
 CYCLE, BLOCK_TOKENS, MAX_SOURCES = 10_000, 1_024, 5_000
+#: Blocks of the longest cycle; shares under one block of it can't be met.
+MAX_CYCLE = 200_000
 #: Documents of a source in one range of the order, about.
 RANGE_DOCS = 4_096
 _encodings: dict[str, object] = {}
@@ -73,7 +75,8 @@ def plan_mixture(available: dict[str, int], targets: dict[str, float], repeats:
 
     Without total, the mixture is as large as it can be with all shares met; a source without tokens (or with a share or
     a repeat count of 0 or null) is left out and the others share its weight in proportion. With a larger total, sources
-    that run out give all they may (tokens times repeats), and the rest is shared by the others.
+    that run out give all they may (tokens times repeats), and the rest is shared by the others. Where a source's share
+    is less than a block of the cycle, the cycle grows to give it ten (at most to MAX_CYCLE), of fewer tokens if need be.
     """
     most = {s: available.get(s, 0) * max(0, repeats.get(s) or 0) for s in targets}
     live = {s: float(w) for s, w in targets.items() if w and w > 0 and most[s] > 0}
@@ -96,6 +99,10 @@ def plan_mixture(available: dict[str, int], targets: dict[str, float], repeats:
             del open_[s]
     rounds = max(1, int(size // (block_tokens * cycle)))
     cycle = max(len(live), min(cycle, int(size // block_tokens)))
+    least = min(share.values()) / size
+    if least * cycle < 1:
+        cycle = max(cycle, min(MAX_CYCLE, math.ceil(10 / least)))
+        rounds = max(1, int(size // (block_tokens * cycle)))
     # largest remainder, at least one block each
     exact = {s: share[s] / size * cycle for s in share}
     blocks = {s: max(1, int(x)) for s, x in exact.items()}
@@ -117,7 +124,7 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
     order = []
     for t in range(cycle):
         ready = [s for s, n in blocks.items() if done[s] < n and done[s] * cycle // n <= t]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * cycle // blocks[s]), -Fraction(blocks[s], cycle), s))
+        s = min(ready, key=lambda s: (-(-(done[s] + 1) * cycle // blocks[s]), -blocks[s], s))
         order.append((s, done[s]))
         done[s] += 1
     return order

@@ -33,6 +33,14 @@ def test_plan_meets_shares_and_caps():
     assert plan_mixture({}, target, rep).quota == {} and plan_mixture(have, {"a": 0.0}, rep).quota == {}
 
 
+@pytest.mark.parametrize("rare", [0.00001, 0.00005])
+def test_plan_meets_a_small_share_of_a_limiting_source(rare):
+    have, target = {"a": 10**9, "rare": 5_000}, {"a": 1 - rare, "rare": rare}
+    p = plan_mixture(have, target, {"a": 1, "rare": 1})
+    whole = sum(p.quota.values())
+    assert p.quota["rare"] / whole == pytest.approx(rare, rel=0.06) and whole == pytest.approx(5_000 / rare, rel=0.06)
+
+
 def corpus(spark, n=600):
     r = random.Random(2)
     data = [(k, " ".join(r.choice(["river", "dam", "fish", "reservoirs"]) for _ in range(r.randrange(1, 120))), r.choice(["Web Text"] * 5 + ["web-text", "books", "BOOKS ", None, "other"])) for k in range(n)]
