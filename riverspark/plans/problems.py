@@ -103,8 +103,9 @@ def rivers(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Dams whose stored river or distance is wrong, with the right river or -1."""
     shapes = rivers(spark, d).select(F.col("goid").alias("sid"), F.col("from_x").alias("ax"), F.col("from_y").alias("ay"), F.col("to_x").alias("bx"), F.col("to_y").alias("by"))
-    own = table(spark, d, "dams").where(usable("x", "y")).select("dam_id", "x", "y", F.coalesce("nearest_river_goid", F.lit(NO_RIVER)).alias("stored"), "distance_to_river").distinct()
-    near = near_pairs(own.select(F.col("dam_id").alias("pid"), "x", "y"), shapes, REACH)
+    places = table(spark, d, "dams").where(usable("x", "y"))
+    own = places.select("dam_id", "x", "y", F.coalesce("nearest_river_goid", F.lit(NO_RIVER)).alias("stored"), "distance_to_river").distinct()
+    near = near_pairs(places.select(F.col("dam_id").alias("pid"), "x", "y"), shapes, REACH)
     j = own.join(near, F.col("dam_id") == F.col("pid"), "left").withColumn("river_goid", F.coalesce("sid", F.lit(NO_RIVER).cast("long")))
     stored = measured("distance_to_river")
     wrong = (F.col("stored") != F.col("river_goid")) | ((F.col("river_goid") != NO_RIVER) & (stored.isNull() | (F.abs(stored - F.col("distance")) > 1)))

@@ -128,7 +128,7 @@ def away(p, s, kind):
     return math.hypot(px - ax - t * dx, py - ay - t * dy)
 
 
-@pytest.mark.parametrize("lot", [20_000, 40])
+@pytest.mark.parametrize("lot", [20_000, 40, 1])
 @pytest.mark.parametrize("kind", ["segment", "box"])
 def test_near_pairs_equal_brute_force(spark, kind, lot):
     r = random.Random(11)
@@ -164,6 +164,34 @@ def test_near_pairs_others_ties_and_empty(spark):
         near_pairs(p, s, -1.0)
 
 
+@pytest.mark.parametrize("density", [1, 10, 100])
+def test_copies_of_shapes_dont_grow_with_density(spark, density):
+    from riverspark.operators.proximity import _cells
+
+    n, side = 2_000 * density, 400_000.0
+    at = lambda k: F.rand(k) * side
+    p = spark.range(n).select(F.col("id").alias("pid"), at(1).alias("x"), at(2).alias("y"))
+    s = spark.range(n).select(F.col("id").alias("sid"), at(3).alias("ax"), at(4).alias("ay")).withColumn("bx", F.col("ax") + 500).withColumn("by", F.col("ay") + 900)
+    cells = _cells(p, s, 5_000.0, 40_000.0, 500, "segment", (0.0, 0.0, side, side), n)
+    assert cells.count() <= 1.3 * 2 * n
+    assert cells.where("kind = 1").count() == n
+    plan = near_pairs(p, s, 5_000.0)._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan.lower()
+
+
+def test_a_dense_place_and_a_garbled_shape(spark):
+    r = random.Random(4)
+    pts = [(k, 1000 + r.random(), 1000 + r.random()) for k in range(400)] + [(k, r.uniform(1, 9000), r.uniform(1, 9000)) for k in range(400, 450)]
+    shp = [(k, 1000 + r.random(), 1000 + r.random(), 1001.0, 1001.0) for k in range(200)] + [(900, 5000.0, 5000.0, 9e14, 5000.0)]
+    p, s = spark.createDataFrame(pts, "pid long, x double, y double"), spark.createDataFrame(shp, "sid long, ax double, ay double, bx double, by double")
+    want = {}
+    for i, x, y in pts:
+        d = min((away((x, y), q, "segment"), k) for k, *q in shp)
+        if d[0] <= 300:
+            want[i] = d[1]
+    assert {x["pid"]: x["sid"] for x in near_pairs(p, s, 300.0, lot=2).collect()} == want
+
+
 # 4: snapshots
 
 
