@@ -41,16 +41,21 @@ def missing_parents(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     return pairs.join(p, (F.col("ref") == F.col("own")) & _holds("valid_from", "valid_to"), "left_anti")
 
 
-def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_rounds: int = 100_000) -> DataFrame:
+def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_rounds: int = 1_000) -> DataFrame:
     """(src_table, period, rec_id, ref, level, kind): level 0 are direct orphans, level k inherit from an orphan of level k-1.
 
     Every table has rec_id (its record), period, valid_from, valid_to (null: open) and the columns that keys name. A
     reference holds if a parent row has that own key and is valid in the child's period. Round 0 anti-joins each foreign
     key to its parent: over distinct (ref, period) pairs, combined before the shuffle, so a parent to which a third of
-    all rows refer is one pair a period. Each further round semi-joins the children of the records that became orphans in
-    the last round, and the fixpoint is reached when none is new. Children that nothing refers to take no part in the
-    rounds; they inherit in one join at the end. A child inherits only if every valid parent row of its reference is an
-    orphan in that period; its level is that of the last of them, plus one.
+    all rows refer is one pair a period. Each further round semi-joins the children of the records that became orphans
+    before, and the fixpoint is reached when none is new; without a key whose parent is itself a child, that is round 0.
+    Children that nothing refers to take no part in the rounds; they inherit in one join at the end. A child inherits
+    only if every valid parent row of its reference is an orphan in that period; its level is that of the last of them,
+    plus one.
+
+    Where every record has one parent row, the links from child to parent are doubled each round, so that round k reaches
+    the descendants less than 2^k levels down: rounds are the logarithm of the depth. Otherwise a round is one level, and
+    more than max_rounds levels are an error.
 
     A null ref is no reference. Equal rows give one result row. Self references and cycles end, as a record becomes an
     orphan once per period. Empty tables give no rows. Columns that aren't named above are ignored. What is used again
@@ -58,7 +63,7 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
     """
     if not keys:
         raise ValueError("no foreign key")
-    parents = {k.parent for k in keys}
+    parents, children = {k.parent for k in keys}, {k.child for k in keys}
 
     def refs(k: ForeignKey) -> DataFrame:
         return tables[k.child].where(F.col(k.ref).isNotNull()).select("period", _period(), "rec_id", F.col(k.ref).alias("ref"))
@@ -67,7 +72,7 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
         return tables[k.parent].where(F.col(k.own).isNotNull()).select("rec_id", F.col(k.own).alias("ref"), "valid_from", "valid_to").distinct()
 
     def shaped(rows: DataFrame, k: ForeignKey, level) -> DataFrame:
-        return rows.select(F.lit(k.child).alias("src_table"), "period", "_p", "rec_id", "ref", level.alias("level"))
+        return rows.select(F.lit(k.child).alias("src_table"), "period", "_p", "rec_id", "ref", level.cast("int").alias("level"))
 
     found = None
     for k in keys:
@@ -75,48 +80,87 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
         gone = missing_parents(pairs, tables[k.parent].select(F.col(k.own).alias("own"), "valid_from", "valid_to"))
         direct = shaped(salted_join(refs(k), gone, ["ref", "_p"], "left_semi"), k, F.lit(0)).distinct()
         found = direct if found is None else found.unionByName(direct)
-    if not any(k.parent in {x.child for x in keys} for k in keys):  # no orphan has children: round 0 is the fixpoint
+    if not parents & children:  # no orphan has children: round 0 is the fixpoint
         return _finished(found)
     found = cut(found, "orphans0")
-    inner, leaves = [k for k in keys if k.child in parents], [k for k in keys if k.child not in parents and k.parent in {x.child for x in keys}]
+    inner, leaves = [k for k in keys if k.child in parents], [k for k in keys if k.child not in parents and k.parent in children]
+    first = cut(found.where(F.col("src_table").isin(list(parents))).select("src_table", "rec_id", "_p", "level").distinct(), "orphan-records0")
     edges = [(k, cut(refs(k).distinct(), "refs"), cut(owners(k), "owners")) for k in inner]
-    shared = [not own.groupBy("ref").agg(F.min("rec_id").alias("a"), F.max("rec_id").alias("b")).where("a <> b").isEmpty() for _, _, own in edges]
-    # where a key has one record, children are tied to it once, and a round is one semi-join
-    links = [None if many else cut(ref.join(own, "ref").where(_holds("valid_from", "valid_to")).select("period", "_p", ref["rec_id"], "ref", own["rec_id"].alias("_parent")).distinct(), "links") for (_, ref, own), many in zip(edges, shared)]
-    seen = frontier = cut(found.where(F.col("src_table").isin(list(parents))).select("src_table", "rec_id", "_p", "level").distinct(), "orphan-records0")
+    links = _links(edges)
+    if links is not None:
+        seen = _doubled_records(links, first)
+        lost = seen.select(F.col("src_table").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("level").alias("_l"))
+        found = found.unionByName(links.join(lost, ["_table", "_parent", "_p"]).select("src_table", "period", "_p", "rec_id", "ref", (F.col("_l") + 1).alias("level")))
+    else:
+        more, seen = _records_by_level(edges, first, shaped, max_rounds)
+        # a reference that was reached in several rounds keeps its lowest level
+        found = found.unionByName(more).groupBy("src_table", "period", "_p", "rec_id", "ref").agg(F.min("level").alias("level"))
+    for k in leaves:
+        bad = seen.where(F.col("src_table") == k.parent).select("rec_id", "_p", "level")
+        own = owners(k)
+        lost = own.join(bad, "rec_id").where(_holds("valid_from", "valid_to")).groupBy("ref", "_p").agg(F.max("level").alias("_l"), F.countDistinct("rec_id").alias("_n"))
+        holders = own.join(lost.select("ref", "_p"), "ref").where(_holds("valid_from", "valid_to")).groupBy("ref", "_p").agg(F.countDistinct("rec_id").alias("_all"))
+        dead = lost.join(holders, ["ref", "_p"]).where("_n = _all").select("ref", "_p", "_l")
+        found = found.unionByName(shaped(salted_join(refs(k), dead, ["ref", "_p"], "inner"), k, F.col("_l") + 1).distinct())
+    return _finished(found)
+
+
+def _links(edges: list[tuple[ForeignKey, DataFrame, DataFrame]]) -> DataFrame | None:
+    """Each reference that holds, with its one parent record; None if a reference holds several, or a record has several references."""
+    links = None
+    for k, ref, own in edges:
+        if not own.groupBy("ref").agg(F.min("rec_id").alias("a"), F.max("rec_id").alias("b")).where("a <> b").isEmpty():
+            return None
+        one = ref.join(own, "ref").where(_holds("valid_from", "valid_to")).select(F.lit(k.child).alias("src_table"), "period", "_p", ref["rec_id"], "ref", F.lit(k.parent).alias("_table"), own["rec_id"].alias("_parent")).distinct()
+        links = one if links is None else links.unionByName(one)
+    links = cut(links, "links")
+    several = links.groupBy("src_table", "rec_id", "_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return links if several.isEmpty() else None
+
+
+def _doubled_records(links: DataFrame, first: DataFrame) -> DataFrame:
+    """Orphaned records (src_table, rec_id, _p, level): those of first and all that descend from them."""
+    record, above = ["src_table", "rec_id", "_p"], {"src_table": "_table", "rec_id": "_parent"}
+    jumps, seen, length = links.select(*record, *above.values()), first, 1
+    while True:
+        lost = seen.withColumnsRenamed(above)
+        new = jumps.join(lost, [*above.values(), "_p"]).select(*record, (F.col("level") + length).cast("int").alias("level"))
+        new = cut(new.join(seen.select(record), record, "left_anti"), "orphan-records")
+        if new.isEmpty():  # a record further away would have an ancestor at this distance
+            return seen
+        seen, length = seen.unionByName(new), length * 2
+        further = jumps.select(F.col("src_table").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("_table").alias("_t2"), F.col("_parent").alias("_p2"))
+        jumps = cut(jumps.join(further, [*above.values(), "_p"]).select(*record, F.col("_t2").alias("_table"), F.col("_p2").alias("_parent")), "links")
+
+
+def _records_by_level(edges: list[tuple[ForeignKey, DataFrame, DataFrame]], first: DataFrame, shaped, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Inherited references, and all orphaned records, a level a round."""
+    found = None
+    seen = frontier = first
     level = 0
-    while level < max_rounds and not frontier.isEmpty():
+    while not frontier.isEmpty():
         level += 1
+        if level > max_rounds:
+            raise ValueError(f"references are more than {max_rounds} levels deep")
         new = None
-        for (k, ref, own), link in zip(edges, links):
-            fresh = frontier.where(F.col("src_table") == k.parent).select("rec_id", "_p")
-            if link is not None:
-                one = shaped(link.join(fresh.withColumnRenamed("rec_id", "_parent"), ["_parent", "_p"], "left_semi"), k, F.lit(level))
-                new = one if new is None else new.unionByName(one)
-                continue
+        for k, ref, own in edges:
             # a key of several rows is lost when the last of them is
+            fresh = frontier.where(F.col("src_table") == k.parent).select("rec_id", "_p")
             dead = own.join(fresh, "rec_id").where(_holds("valid_from", "valid_to")).select("ref", "_p").distinct()
             bad = seen.where(F.col("src_table") == k.parent).select("rec_id", "_p")
             holders = own.join(dead, "ref").where(_holds("valid_from", "valid_to")).select("rec_id", "ref", "_p")
             dead = dead.join(holders.join(bad, ["rec_id", "_p"], "left_anti").select("ref", "_p").distinct(), ["ref", "_p"], "left_anti")
             one = shaped(ref.join(dead, ["ref", "_p"], "left_semi"), k, F.lit(level))
             new = one if new is None else new.unionByName(one)
-        if new is None:
-            break
         rows = cut(new, f"orphans{level}")
-        found = found.unionByName(rows)
+        found = rows if found is None else found.unionByName(rows)
         known = seen.select("src_table", "rec_id", "_p")
         frontier = cut(rows.select("src_table", "rec_id", "_p", "level").distinct().join(known, ["src_table", "rec_id", "_p"], "left_anti"), f"orphan-records{level}")
         seen = seen.unionByName(frontier)
-    for k in leaves:
-        bad = seen.where(F.col("src_table") == k.parent).select("rec_id", F.col("_p"), "level")
-        own = owners(k)
-        lost = own.join(bad, "rec_id").where(_holds("valid_from", "valid_to")).groupBy("ref", "_p").agg(F.max("level").alias("_l"), F.countDistinct("rec_id").alias("_n"))
-        holders = own.join(lost.select("ref", "_p"), "ref").where(_holds("valid_from", "valid_to")).groupBy("ref", "_p").agg(F.countDistinct("rec_id").alias("_all"))
-        dead = lost.join(holders, ["ref", "_p"]).where("_n = _all").select("ref", "_p", "_l")
-        found = found.unionByName(shaped(salted_join(refs(k), dead, ["ref", "_p"], "inner"), k, (F.col("_l") + 1).cast("int")).distinct())
-    # a reference that was reached in several rounds keeps its lowest level
-    return _finished(found.groupBy("src_table", "period", "_p", "rec_id", "ref").agg(F.min("level").alias("level")))
+    if found is None:
+        k, ref, _ = edges[0]
+        found = shaped(ref.limit(0), k, F.lit(0))
+    return found, seen
 
 
 def _finished(found: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from riverspark.operators.proximity import near_pairs, usable
 from riverspark.operators.quantiles import cell_counts, cell_of, cell_percentiles, merge_counts, percentiles, value_counts, value_of
 from riverspark.operators.references import ForeignKey, orphan_cascade
 from riverspark.operators.skew import Measure, salted_aggregate
-from riverspark.operators.snapshots import snapshot_changes
+from riverspark.operators.snapshots import chunk_report, snapshot_changes
 from riverspark.sources.tables import NO_RIVER, latest, measured, table
 
 REACH = 5_000.0
@@ -131,6 +131,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_changes(table(spark, d, "dof_layer"), "snap_year", "goid", measured("dof_all"), order="loaded_at")
 
 
+def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """How many chunks and rows the digests discard. Without SQL, which lacks the hash; tests hold it against brute force."""
+    return chunk_report(table(spark, d, "dof_layer"), "snap_year", "goid", measured("dof_all"), order="loaded_at")
+
+
 def _river_parents(spark: SparkSession, d: str) -> DataFrame:
     return rivers(spark, d).select(F.col("goid").alias("rec_id"), F.lit(None).cast("int").alias("period"), "goid", "valid_from", "valid_to").distinct()
 
@@ -157,13 +162,16 @@ def p5_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Reaches that drain into a reach missing in a snapshot year, all upstream of them, and the dams on any of those."""
     r = table(spark, d, "reaches").select("goid", "hybas_id", "noid", "ndoid", "valid_from", "valid_to").distinct()
     valid = r.withColumn("period", F.explode(F.array(F.lit(2010), F.lit(2015), F.lit(2020)))).where((F.col("valid_from") <= F.col("period")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("period"))))
-    node = lambda n: F.shiftleft("hybas_id", 30) + F.col(n)  # noqa: E731  one number: basins have 33 bits, nodes of a basin 30
+    # one number: basins have 34 bits, nodes of a basin 28; what has more is an error
+    fits = F.col("hybas_id").between(0, 2**34 - 1) & F.col("noid").between(0, 2**28 - 1) & F.col("ndoid").between(0, 2**28 - 1)
+    valid = valid.where(F.when(F.coalesce(fits, F.lit(True)), True).otherwise(F.raise_error(F.lit("a basin or node number is too large"))))
+    node = lambda n: F.shiftleft("hybas_id", 28) + F.col(n)
     nowhere = F.lit(None).cast("long")
     reaches = valid.select(F.col("goid").alias("rec_id"), "period", "goid", node("noid").alias("node"), F.when(F.col("ndoid") != 0, node("ndoid")).alias("down"), F.col("period").alias("valid_from"), F.col("period").alias("valid_to"))
     main = table(spark, d, "mainstems").select(F.col("goid").alias("rec_id"), F.lit(None).cast("int").alias("period"), "goid", nowhere.alias("node"), nowhere.alias("down"), "valid_from", "valid_to").distinct()
     network = reaches.unionByName(main)
     found = orphan_cascade({"reaches": network, "dams": _dam_refs(spark, d)}, [ForeignKey("reaches", "down", "reaches", "node"), ForeignKey("dams", "goid", "reaches", "goid")])
-    ref = F.when(F.col("src_table") == "reaches", F.concat_ws(":", F.shiftright("ref", 30), F.col("ref").bitwiseAND(F.lit(2**30 - 1)))).otherwise(F.col("ref").cast("string"))
+    ref = F.when(F.col("src_table") == "reaches", F.concat_ws(":", F.shiftright("ref", 28), F.col("ref").bitwiseAND(F.lit(2**28 - 1)))).otherwise(F.col("ref").cast("string"))
     return found.select("src_table", F.col("period").alias("snap_year"), "rec_id", ref.alias("ref"), "level", "kind")
 
 
@@ -172,7 +180,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("src_table", "snap_year").agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("goid").alias("n_missing"))
 
 
-QUERIES = {f.__name__: f for f in (p1_river_load, p1_basin_load, p2_percentiles, p2_merged_days, p3_found, p3_basin_of_dam, p3_nearest_dam, p4_found, p5_found, p5_cascade, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_river_load, p1_basin_load, p2_percentiles, p2_merged_days, p3_found, p3_basin_of_dam, p3_nearest_dam, p4_found, p4_chunks, p5_found, p5_cascade, p5_report)}
 
 _M = "CASE WHEN isnan({0}) OR {0} = -999 THEN NULL ELSE {0} END"
 _DAMS = "dm AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM dams)"

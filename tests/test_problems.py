@@ -11,7 +11,8 @@ from riverspark.operators.proximity import near_pairs
 from riverspark.operators.quantiles import cell_of, merge_counts, percentiles, value_counts, value_of
 from riverspark.operators.references import ForeignKey, orphan_cascade
 from riverspark.operators.skew import Measure, heavy_keys, salted_aggregate, salted_join
-from riverspark.operators.snapshots import snapshot_changes
+from riverspark.session import cut
+from riverspark.operators.snapshots import chunk_report, snapshot_changes
 
 
 def rows(df):
@@ -249,6 +250,19 @@ def test_snapshot_changes_edges(spark):
     assert rows(snapshot_changes(near, "y", "g", F.col("v"))) == [(3, 5, "changed")]
 
 
+def test_digests_discard_what_is_equal(spark):
+    old = [(1, g, float(g), 1) for g in range(20_000)]
+    clustered = old + [(2, g, float(g) + (g < 2_000), 1) for g in range(20_000)]
+    scattered = old + [(2, g, float(g) + (g % 10 == 0), 1) for g in range(20_000)]
+    for data, least, most in ((clustered, 0.88, 0.9), (scattered, 0.1, 0.6)):
+        df = spark.createDataFrame(data, "y int, g long, v double, t int")
+        r = chunk_report(df, "y", "g", F.col("v"), order="t").first()
+        assert r["n_rows"] == 20_000 and r["n_open_chunks"] < r["n_chunks"]
+        assert least <= 1 - r["n_open_rows"] / r["n_rows"] <= most
+        assert snapshot_changes(df, "y", "g", F.col("v"), order="t").count() == 2_000
+    assert rows(chunk_report(df.limit(0), "y", "g", F.col("v"))) == []
+
+
 # 5: references
 
 
@@ -272,6 +286,22 @@ def test_orphans_of_a_shared_key_and_a_cycle_below_an_orphan(spark):
     assert rows(out.select("rec_id", "ref", "level")) == [(1, "gone", 0), (4, "gone", 0), (5, "p", 1), (5, "r", 3), (6, "q", 2)]
 
 
+def test_a_deep_cascade_takes_few_rounds(spark, monkeypatch):
+    import riverspark.operators.references as m
+
+    written = []
+    monkeypatch.setattr(m, "cut", lambda df, name="cut": written.append(name) or cut(df, name))
+    chain = table_of(spark, [(k, 1, f"n{k}", f"n{k - 1}", None, None) for k in range(1, 1001)])
+    out = orphan_cascade({"n": chain}, [ForeignKey("n", "up", "n", "own")])
+    assert sorted((r["rec_id"], r["level"]) for r in out.collect()) == [(k, k - 1) for k in range(1, 1001)]
+    assert len(written) <= 5 + 2 * 11
+    two = chain.unionByName(table_of(spark, [(2000, 1, "n7", None, None, None)]))
+    deep = orphan_cascade({"n": two}, [ForeignKey("n", "up", "n", "own")], max_rounds=10)
+    assert deep.count() == 7  # n7 has another row, which is no orphan
+    with pytest.raises(ValueError):
+        orphan_cascade({"n": two.where("rec_id <> 2000").unionByName(table_of(spark, [(3000, 1, "n5", "gone", None, None)]))}, [ForeignKey("n", "up", "n", "own")], max_rounds=10)
+
+
 def test_orphans_edges(spark):
     e = table_of(spark, [])
     assert rows(orphan_cascade({"n": e}, [ForeignKey("n", "up", "n", "own")])) == []
