@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from riverspark.session import cut
 from riverspark.operators.network import accumulate, barrier_scores, decay, dense_ids, dissolve, dof_score, fragmentation, pass_ratio, regulation, river_status, small_stretches, trapping
 
 SEVEN = [(1, None, 100.0), (2, 1, 50.0), (3, 1, 40.0), (4, 2, 25.0), (5, 2, 5.0), (6, 3, 20.0), (7, 3, 15.0)]
@@ -95,13 +96,30 @@ def test_dor_and_accumulation(spark):
     assert t == {1: 7.0, 2: 3.0, 3: 3.0, 4: 1.0, 5: 1.0, 6: 1.0, 7: 1.0}
 
 
-def test_a_cycle_is_an_error(spark, monkeypatch):
-    import riverspark.operators.network as m
-
-    monkeypatch.setattr(m, "MAX_ROUNDS", 6)
+def test_a_cycle_is_an_error(spark):
     n = net(spark, [(1, 2, 5.0), (2, 1, 5.0)])
     with pytest.raises(ValueError):
         accumulate(n, n.select("node", F.lit(1.0).alias("amount"))).collect()
+    with pytest.raises(ValueError):
+        fragmentation(n, n.select("node")).collect()
+    with pytest.raises(ValueError):
+        dissolve(n.withColumn("c", F.lit(1)), ["c"])
+
+
+def test_a_long_river_takes_few_rounds(spark, monkeypatch):
+    import riverspark.operators.network as m
+
+    written = []
+    monkeypatch.setattr(m, "cut", lambda df, name="cut": written.append(name) or cut(df, name))
+    n = spark.range(1, 5001).select(F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("down"), (5001.0 - F.col("id")).alias("q"), F.lit(0).alias("fall"))
+    total = {r["node"]: r["total"] for r in accumulate(n, n.select("node", F.lit(1.0).alias("amount"))).collect()}
+    assert all(total[k] == 5001 - k for k in range(1, 5001))
+    assert len(written) <= 2 + 14 + 13
+    written.clear()
+    d = {r["node"]: r["dof"] for r in fragmentation(n, spark.createDataFrame([(2001,)], "node long")).collect()}
+    want = {k: max(0.0, 100 - abs(math.log10(5001 - k) - math.log10(3000)) * 100 / math.log10(5)) for k in range(1, 5001)}
+    assert all(abs(d[k] - want[k]) < 1e-6 for k in want)
+    assert len(written) <= 2 + 14 + 13
 
 
 def test_pass_ratio(spark):
