@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
-from riverspark.llm.leakage import EXACT_WORDS, LOOSE_SHARE, LOOSE_WORDS, _loose, leaks
-from riverspark.llm.text import clean
+from riverspark.llm.leakage import CLASSES, EXACT_WORDS, LOOSE_SHARE, LOOSE_WORDS, SHINGLE, _loose, _packed, leaks, search, signature
+from riverspark.llm.text import WordIds, clean, shingles, word_ids
 
 WORDS = [a + b for a in "ba ke li mo nu pra sti tro vel wen".split() for b in "dan fel gor him jut lak mir nos pel rit sov tum".split()]
 
@@ -75,7 +77,51 @@ def test_leaks_equal_brute_force(spark):
     t = spark.createDataFrame(items, "item_id long, passage string, question string")
     got = sorted(map(tuple, leaks(d, t).collect()))
     assert got == want and len(want) > 40
-    assert sorted(map(tuple, leaks(d, t, block_items=4).collect())) == want  # items in blocks
+    assert sorted(map(tuple, leaks(d, t, exact=True).collect())) == want
+    assert sorted(map(tuple, leaks(d.withColumn("hash", d_col()), t, broadcast_words=0).collect())) == want  # sketch joined instead of sent
+
+
+def spaced(words, edits, kind, first=None):
+    """words with edits at even distances, from the middle of the first gap."""
+    out, gap = [], len(words) / (edits + 1)
+    at = {round(gap * (k + 1)) for k in range(edits)} if first is None else {first + 6 * k for k in range(edits)}
+    for i, w in enumerate(words):
+        if i not in at or kind == "a":
+            out.append(w)
+        if i in at and kind in "ca":
+            out.append(f"zz{i}")
+    return out
+
+
+@pytest.mark.parametrize("exact, least", [(False, 0.99), (True, 1.0)])
+def test_recall_of_edited_stretches(exact, least):
+    r = random.Random(12)
+    ids, cases, hit = WordIds(), 0, 0
+    for n in (25, 29, 30, 35, 36, 41, 48, 49):
+        for kind in "cda":
+            for way in ("even", "six", "random"):
+                parts, texts = [], []
+                for _ in range(12):
+                    piece = text(r, 120)
+                    a, k = r.randrange(120 - n), n // 6
+                    part = piece[a : a + n]
+                    part = spaced(part, k, kind) if way == "even" else spaced(part, k, kind, r.randrange(6)) if way == "six" and k * 6 < n + 5 else edited(r, part, k)
+                    parts.append(word_ids([" ".join(piece)], ids)[:-1].view(np.int64))
+                    texts.append(" ".join(text(r, 30) + part + text(r, 30)))
+                p = pd.DataFrame({"piece": range(12), "item_id": range(12), "words": parts})
+                at = [signature(w.view(np.uint64), exact) for w in parts]
+                keys = pd.DataFrame({"key": np.concatenate([shingles(w.view(np.uint64), SHINGLE)[i].view(np.int64) for w, i in zip(parts, at)]), "piece": np.repeat(range(12), [len(i) for i in at]), "at": np.concatenate(at), "need": 2})
+                d, i = search(texts, _packed(p, keys), ids)
+                hit += len({x for x, y in zip(d, i) if x == y})
+                cases += 12
+    assert hit >= least * cases
+
+
+def test_signatures():
+    short, long = CLASSES
+    assert (short.common, long.common) == (13, 6) and short.minima() == 1 and long.minima() == 15
+    w = np.arange(1, 200, dtype=np.uint64)
+    assert len(signature(w[:20])) <= 8 < len(signature(w)) < len(signature(w, exact=True)) == 196
 
 
 def test_typeset_and_shared_wording(spark):
