@@ -216,14 +216,15 @@ def candidates(group: np.ndarray, p: np.ndarray, q: np.ndarray, need: np.ndarray
     return o[fresh & (np.bincount(cluster)[cluster] >= need[o])]
 
 
-def verified(doc: np.ndarray, piece: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Of hits (shingle at doc[p] = shingle at piece[q]): whether a case lies around it. doc and piece hold 0 between texts and are padded."""
+def verified(doc: np.ndarray, piece: np.ndarray, p: np.ndarray, q: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Of hits (shingle at doc[p] = shingle at piece[q]): whether a case lies around it; of one pair, one case is enough. doc and piece hold 0 between texts and are padded."""
     back = np.arange(-1, -EXACT_WORDS - 1, -1)
     ahead = np.arange(SHINGLE, SHINGLE + EXACT_WORDS)
     same = lambda o: (doc[p[:, None] + o] == piece[q[:, None] + o]) & (piece[q[:, None] + o] != 0)
     run = SHINGLE + np.cumprod(same(back), axis=1).sum(axis=1) + np.cumprod(same(ahead), axis=1).sum(axis=1)
     ok = run >= EXACT_WORDS
-    rest = np.flatnonzero(~ok)
+    found = set(pair[ok].tolist())
+    rest = np.flatnonzero(~np.isin(pair, pair[ok]))
     # exact shingle containment: the document's shingles that the piece has, at most SHIFT places off the hit's diagonal
     span = LONGEST + SHIFT
     o = np.arange(-REACH, REACH)
@@ -237,8 +238,12 @@ def verified(doc: np.ndarray, piece: np.ndarray, p: np.ndarray, q: np.ndarray) -
         total = np.cumsum(np.c_[np.zeros(len(r), int), whole], axis=1)
         most = (total[:, span:] - total[:, :-span]).max(axis=1)
         for i in r[most >= CLASSES[-1].common]:
+            if int(pair[i]) in found:
+                continue
             lo, hi = _within(doc, int(p[i])), _within(piece, int(q[i]))
-            ok[i] = _loose(doc[lo[0] : lo[1]], piece[hi[0] : hi[1]])
+            if _loose(doc[lo[0] : lo[1]], piece[hi[0] : hi[1]]):
+                ok[i] = True
+                found.add(int(pair[i]))
     return ok
 
 
@@ -265,9 +270,10 @@ def search(texts: list[str | None], s: Sketch, ids: WordIds) -> tuple[np.ndarray
         if not len(p):
             continue
         doc_of = np.cumsum(words == 0)
-        few = candidates(doc_of[p] * (s.number[-1] + 2) + s.number[q], p, q, s.need[which])
+        group = doc_of[p] * (s.number[-1] + 2) + s.number[q]
+        few = candidates(group, p, q, s.need[which])
         p, q = p[few], q[few]
-        ok = verified(np.r_[pad, words, pad], s.words, p + len(pad), q)
+        ok = verified(np.r_[pad, words, pad], s.words, p + len(pad), q, group[few])
         out_doc.append(doc_of[p[ok]] + a)
         out_item.append(s.item[q[ok]])
     return np.concatenate(out_doc), np.concatenate(out_item)
@@ -338,7 +344,7 @@ def _joined_search(own: DataFrame, parts: DataFrame, keys: DataFrame) -> DataFra
             for d, w, h, n in zip(b["doc"], b["piece_words"], b["hits"], b["need"]):
                 p, q = np.array([x["p"] for x in h], np.int64), np.array([x["at"] for x in h], np.int64)
                 few = candidates(np.zeros(len(p), np.int64), p, q, np.full(len(p), n))
-                good.append(bool(verified(padded(d), padded(w), p[few] + len(pad), q[few] + len(pad)).any()))
+                good.append(bool(verified(padded(d), padded(w), p[few] + len(pad), q[few] + len(pad), np.zeros(len(few), np.int64)).any()))
             yield b.loc[good, ["doc_id", "item_id"]]
 
     return whole.select("doc_id", "item_id", "doc", "piece_words", "hits", "need").mapInPandas(verify, "doc_id long, item_id long")
