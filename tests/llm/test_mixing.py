@@ -53,8 +53,8 @@ def test_mixture(spark):
     targets = spark.createDataFrame([("web_text", 0.4, 1), ("books", 0.5, 3), ("empty", 0.1, 2)], "source string, target_share double, max_repeats int")
     rows = mix(docs, targets, TOKENIZER, block_tokens=64).collect()
     assert rows
-    uses = Counter((r["source"], r["doc_id"], r["n_tokens"]) for r in rows)
-    assert max(v for (s, *_), v in uses.items() if s == "books") <= 3 and max(v for (s, *_), v in uses.items() if s == "web_text") == 1
+    uses = Counter((r["source"], r["doc_id"]) for r in rows if r["from_token"] == 0)
+    assert max(v for (s, d), v in uses.items() if s == "books" and d) <= 3 and max(v for (s, *_), v in uses.items() if s == "web_text") == 1
     total = Counter()
     for r in rows:
         total[r["source"]] += r["n_tokens"]
@@ -69,17 +69,37 @@ def test_mixture(spark):
         xs.sort()
         assert all(a + n == b for (a, n, _), (b, _, _) in zip(xs, xs[1:]))
         assert [p for *_, p in xs] == sorted(p for *_, p in xs)
-    # at every position each source is near its share: a block and a document
-    xs = sorted((r["position"], r["source"], r["n_tokens"]) for r in rows)
-    run, longest = Counter(), max(r["n_tokens"] for r in rows)
-    for i, (p, s, n) in enumerate(xs):
+    # at every token each source is less than a block off its share, and every block is full
+    xs = sorted((r["position"], r["start"], r["source"], r["n_tokens"]) for r in rows)
+    full = Counter()
+    for p, _, _, n in xs:
+        full[p] += n
+    block = max(full.values())
+    assert set(full.values()) == {block} and sorted(full) == list(range(len(full)))
+    run = Counter()
+    for _, _, s, n in xs:
         run[s] += n
-        if i + 1 < len(xs) and xs[i + 1][0] != p:
-            t = sum(run.values())
-            assert abs(run["books"] - t * total["books"] / whole) <= 2 * 64 + 2 * longest
+        t = sum(run.values())
+        assert all(abs(run[k] - t * total[k] / whole) < block for k in total)
     out = {r["source"]: r for r in shares(mix(docs, targets, TOKENIZER, block_tokens=64), targets).collect()}
     assert out["empty"]["n_tokens"] == 0 and out["empty"]["actual_share"] == 0.0
     assert out["books"]["n_tokens"] == total["books"] and out["books"]["most_uses"] <= 3
+    assert 0 < out["books"]["max_deviation_blocks"] < 1 and out["empty"]["max_deviation_blocks"] == 0
+
+
+def test_documents_of_many_blocks_are_cut(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(k, "river dam " * r.randrange(1, 400), "abc"[k % 3]) for k in range(60)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
+    m = mix(docs, targets, TOKENIZER, block_tokens=32)
+    pieces = defaultdict(list)
+    for x in m.collect():
+        pieces[x["doc_id"], x["use_no"]].append((x["from_token"], x["n_tokens"]))
+    assert max(map(len, pieces.values())) > 10
+    for xs in pieces.values():
+        xs.sort()
+        assert xs[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(xs, xs[1:]))
+    assert all(x["max_deviation_blocks"] < 1 for x in shares(m, targets).collect())
 
 
 def test_mixture_does_not_depend_on_partitions(spark):
