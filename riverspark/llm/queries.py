@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riverspark.llm.leakage import leaks
 from riverspark.llm.mixing import mix, shares, source_name
-from riverspark.llm.reading import reading_levels
+from riverspark.llm.reading import formula_table, reading_levels
 
 #: The path of the tokenizer is a parameter.
 TOKENIZER = os.environ.get("RIVERSPARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -47,6 +47,11 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
     return levels.select("doc_id", "english", "n_words", "level", *[F.round(f"share_{k}", 4).alias(f"share_{k}") for k in range(1, 6)], F.round("unfamiliar", 4).alias("unfamiliar"), F.round("sentence_words", 3).alias("sentence_words"))
 
 
+def p8_formula(spark: SparkSession, d: str) -> DataFrame:
+    """The coefficients of the reading levels."""
+    return formula_table(_read(spark, d, "documents"), _read(spark, d, "read_levels")).withColumn("coefficient", F.round("coefficient", 4))
+
+
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     """Documents per source and level."""
     docs = _read(spark, d, "documents")
@@ -54,5 +59,5 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", source_name("source").alias("source")).join(levels, "doc_id").groupBy("source", "level").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_leaked_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_profile)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_leaked_items, p7_mixture, p7_shares, p8_found, p8_levels, p8_formula, p8_profile)}
 ORACLES: dict[str, str] = {}

@@ -1,12 +1,14 @@
 """Reading level of each document: familiar-word formula.
 
-A document's words are weighed by how familiar they are: nested lists of high-frequency words are derived from the
-corpus' own document frequencies (one list per cut-off), and the shares of words outside each list, with the average
-sentence length, form the formula. Its coefficients are fitted on labelled samples. One cut-off alone can't do it where
-the words of easy texts are rarer in the corpus than technical ones; nested cut-offs can.
+High-frequency lists are derived from the corpus' own document frequencies: words in at least 1, 2, 3, 5, 8, 11, 14, 20 and
+30 % of the English documents. With u the share of a text's words outside a list, and s = ln(1 + average sentence length), a text is
+above level k if
 
-A text is judged in stretches of about STRETCH words, whole sentences; the document's level is that of most of
-its words.
+    c0 + c1 s + sum over the lists of (a + b s) u  >  0
+
+One list alone can't do it where the words of easy texts are rarer in the corpus than technical ones. The coefficients
+(20 for each of the four thresholds) are fitted on labelled samples and published by formula_table. A text is judged in
+stretches of about STRETCH words, whole sentences; the document's level is that of most of its words.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from riverspark.llm.text import clean, pieces
 from riverspark.session import cut
 
 #: Cut-offs of the nested lists: share of the English documents that hold the word. The lowest bounds the list's size.
-CUTOFFS = (0.003, 0.006, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.065, 0.08, 0.095, 0.11, 0.125, 0.14, 0.16, 0.18, 0.2, 0.23, 0.27, 0.32, 0.4, 0.6)
+CUTOFFS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.11, 0.14, 0.2, 0.3)
+#: The list whose outside share is reported as unfamiliar.
+MAIN = 6
 STRETCH, LEVELS = 24, 5
 #: Labelled samples that are fitted at most, and words the familiar lists may have at most.
 MAX_SAMPLES, MAX_WORDS = 20_000, 1_000_000
@@ -109,12 +113,9 @@ def tokens(texts: list[str | None], lex: Lexicon) -> Tokens:
 
 
 def stretches(t: Tokens, bands: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, text, words) of the stretches: the sentence length, and shares of words between neighbouring familiar lists.
-
-    These shares and the shares outside each list are the same features, each a sum of the others.
-    """
+    """(terms of the formula, text, words) of the stretches."""
     if not len(t.ids):
-        return np.zeros((0, count + 4)), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros((0, 2 * count + 2)), np.zeros(0, np.int64), np.zeros(0)
     first = np.flatnonzero(np.r_[True, t.sentence[1:] != t.sentence[:-1]])
     length = np.diff(np.r_[first, len(t.ids)])
     doc = t.doc[first]
@@ -127,34 +128,44 @@ def stretches(t: Tokens, bands: np.ndarray, count: int) -> tuple[np.ndarray, np.
     words = np.bincount(which, length, n)
     row = np.repeat(which, length)
     cells = np.bincount(row * (count + 1) + bands[t.ids], minlength=n * (count + 1)).reshape(n, count + 1)
-    mean = words / np.bincount(which, minlength=n)
-    x = np.c_[cells / words[:, None], np.minimum(np.log1p(mean), 4.5), np.minimum(mean, 45) / 45, np.ones(n)]
+    outside = np.cumsum(cells, axis=1)[:, :count] / words[:, None]
+    length = np.log1p(words / np.bincount(which, minlength=n))[:, None]
+    x = np.c_[outside, length, outside * length, np.ones(n)]
     owner = np.zeros(n, np.int64)
     owner[which] = doc
     return x, owner, words
 
 
+def term_names(count: int = len(CUTOFFS)) -> list[str]:
+    """Names of the formula's terms, in the order of stretches."""
+    lists = [f"outside_{100 * c:g}%" for c in CUTOFFS[:count]]
+    return [*lists, "sentence", *[f"{n}*sentence" for n in lists], "1"]
+
+
 @dataclass
 class Formula:
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    """A row of coefficients for each threshold between levels."""
+
+    coefficients: np.ndarray
 
     def level(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale @ self.weights).argmax(axis=1) + 1
+        return 1 + (x @ self.coefficients.T > 0).sum(axis=1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 3000, rate: float = 0.5, ridge: float = 1e-4) -> Formula:
-    """Softmax regression by gradient descent from 0: the same result for the same rows."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    mean[-1], scale[-1] = 0.0, 1.0
-    z, hot, w = (x - mean) / scale, np.eye(LEVELS)[y - 1], np.zeros((x.shape[1], LEVELS))
-    for _ in range(rounds):
-        p = z @ w
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w -= rate * (z.T @ (p - hot) / len(x) + ridge * w)
-    return Formula(mean, scale, w)
+def fit(x: np.ndarray, y: np.ndarray, words: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> Formula:
+    """Logistic regression of "above level k" on the terms, for each k, by Newton's method from 0: the same result for the same rows."""
+    weight = words / words.mean()
+    lines = []
+    for k in range(1, LEVELS):
+        c = np.zeros(x.shape[1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(c)), x.T @ (weight * (p - (y > k))) + ridge * c)
+            c -= step
+            if np.abs(step).max() < 1e-9:
+                break
+        lines.append(c)
+    return Formula(np.array(lines))
 
 
 def fit_samples(samples: list[tuple[str | None, int | None]], familiar: dict[str, int]) -> Formula:
@@ -164,8 +175,8 @@ def fit_samples(samples: list[tuple[str | None, int | None]], familiar: dict[str
         raise ValueError("no labelled sample with text")
     lex = Lexicon(familiar)
     t = tokens([r[0] for r in rows], lex)
-    x, owner, _ = stretches(t, np.array(lex.band), len(CUTOFFS))
-    return fit(x, np.array([r[1] for r in rows])[owner])
+    x, owner, words = stretches(t, np.array(lex.band), len(CUTOFFS))
+    return fit(x, np.array([r[1] for r in rows])[owner], words)
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -201,20 +212,30 @@ def familiar_words(frequencies: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS,
     return {r["word"]: int(np.searchsorted(cutoffs, r["n"] / r["all"] + 1e-12, "right")) for r in listed}
 
 
+def fitted(docs: DataFrame, samples: DataFrame, text: str = "text", max_samples: int = MAX_SAMPLES) -> tuple[dict[str, int], Formula]:
+    """The familiar words and the formula of a corpus; at most max_samples of the samples are fitted, chosen by hash."""
+    familiar = familiar_words(cut(document_frequencies(docs, text), "frequencies"))
+    chosen = samples.select("sample_text", "read_level").orderBy(F.xxhash64("sample_text"), "read_level").limit(max_samples).collect()
+    return familiar, fit_samples([tuple(r) for r in chosen], familiar)
+
+
+def formula_table(docs: DataFrame, samples: DataFrame, text: str = "text", max_samples: int = MAX_SAMPLES) -> DataFrame:
+    """(above_level, term, coefficient): a stretch is above a level if the sum of coefficients times terms is above 0."""
+    _, f = fitted(docs, samples, text, max_samples)
+    lines = [(k + 1, n, float(c)) for k, line in enumerate(f.coefficients) for n, c in zip(term_names(), line)]
+    return docs.sparkSession.createDataFrame(lines, "above_level int, term string, coefficient double")
+
+
 def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id", text: str = "text", max_samples: int = MAX_SAMPLES) -> DataFrame:
     """One row per row of docs: doc_id, english, n_words, level, share_1 to share_5, unfamiliar, sentence_words.
 
     share_k: share of the words in stretches of level k; level: the level with the largest share (equal: the lower).
-    unfamiliar: share of words in less than a tenth of the documents. Texts that are null, empty, without words or not
+    unfamiliar: share of words in less than 14 % of the documents. Texts that are null, empty, without words or not
     English (told by function words, whatever any column says) have a null level and shares 0. Repeated documents are
     rows of their own. samples (sample_text, read_level): at most max_samples of them are fitted, chosen by hash.
     """
     spark = docs.sparkSession
-    familiar = familiar_words(cut(document_frequencies(docs, text), "frequencies"))
-    chosen = samples.select("sample_text", "read_level").orderBy(F.xxhash64("sample_text"), "read_level").limit(max_samples).collect()
-    formula = fit_samples([tuple(r) for r in chosen], familiar)
-    sent = spark.sparkContext.broadcast((familiar, formula))
-    tenth = CUTOFFS.index(0.095)
+    sent = spark.sparkContext.broadcast(fitted(docs, samples, text, max_samples))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, f = sent.value
@@ -231,7 +252,7 @@ def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id",
                     np.add.at(share, (owner, f.level(x) - 1), words)
                 total = np.maximum(t.words, 1)
                 share = share / total[:, None] * t.english[:, None]
-                rare = np.bincount(t.doc, band[t.ids] <= tenth, n) / total
+                rare = np.bincount(t.doc, band[t.ids] <= MAIN, n) / total
                 sentences = np.bincount(t.doc[np.flatnonzero(np.r_[True, np.diff(t.sentence) != 0])] if len(t.ids) else t.doc, minlength=n)
                 level = pd.array(share.argmax(axis=1) + 1, dtype="Int64")
                 level[~t.english] = pd.NA

@@ -1,11 +1,13 @@
 """Reading levels: held-out accuracy, and edges."""
 
+import math
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riverspark.llm.reading import CUTOFFS, Lexicon, document_frequencies, familiar_words, fit_samples, reading_levels, stretches, tokens
+from riverspark.llm.reading import CUTOFFS, Lexicon, document_frequencies, familiar_words, fit_samples, fitted, formula_table, reading_levels, stretches, term_names, tokens
 
 DATA = Path("/root/testdata/sf0.01")
 
@@ -18,8 +20,6 @@ def data(spark):
 
 
 def test_held_out_accuracy(data):
-    import numpy as np
-
     docs, samples = data
     familiar = familiar_words(document_frequencies(docs))
     rows = samples.orderBy(F.xxhash64("sample_text")).select("sample_text", "read_level").collect()
@@ -40,6 +40,21 @@ def test_held_out_accuracy(data):
     assert right / len(rows) > 0.9 and near / len(rows) > 0.97 and right5 / n5 > 0.9
 
 
+def test_formula_is_published(data):
+    docs, samples = data
+    lines = formula_table(docs, samples).collect()
+    assert len(lines) == 4 * len(term_names()) == 4 * 20
+    familiar, f = fitted(docs, samples)
+    lex = Lexicon(familiar)
+    t = tokens(["The cow sat on the mat. The cow ran."], lex)
+    x, _, words = stretches(t, np.array(lex.band), len(CUTOFFS))
+    outside = [sum(familiar.get(w, 0) <= k for w in "the cow sat on the mat the cow ran".split()) / 9 for k in range(len(CUTOFFS))]
+    s = math.log1p(4.5)
+    assert words.tolist() == [9] and x[0] == pytest.approx([*outside, s, *[u * s for u in outside], 1.0])
+    above = [sum(r["coefficient"] * v for r, v in zip((r for r in lines if r["above_level"] == k), x[0])) > 0 for k in range(1, 5)]
+    assert f.level(x)[0] == 1 + sum(above) == 1
+
+
 def test_document_frequencies_equal_brute_force(spark):
     docs = spark.createDataFrame([("The river and the dam.",), ("The river is low.",), ("El río y la presa de los peces.",), (None,), ("",), ("a <b>river</b>\n1.0 2.0 3.0 4.0 5.0 dam 0\n",)], "text string").withColumn("word", F.lit("x"))
     got = {r["word"]: r["n"] for r in document_frequencies(docs).collect()}
