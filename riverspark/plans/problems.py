@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from riverspark.functions.numbers import settled
 from riverspark.operators.proximity import near_pairs, usable
-from riverspark.operators.quantiles import cell_counts, cell_of, cell_percentiles, merge_counts, percentiles, value_counts, value_of
 from riverspark.operators.references import ForeignKey, orphan_cascade
 from riverspark.operators.skew import Measure, salted_aggregate
 from riverspark.operators.snapshots import chunk_report, snapshot_changes
 from riverspark.sources.tables import NO_RIVER, latest, measured, table
 
 REACH = 5_000.0
-SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
-#: Stated errors: half a step for hdi_ix_sav and dof_all, 0.1 % of the value for dis_av_cms.
-HDI_STEP, DOF_STEP, DIS_RELATIVE = 0.0001, 0.0001, 0.001
 
 
 def dams(spark: SparkSession, d: str) -> DataFrame:
@@ -62,39 +58,6 @@ def p1_basin_load(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("hybas_id", *n, F.round("stor_mcm", 3).alias("stor_mcm"), settled("mean_dof_all", 4).alias("mean_dof_all"), F.round("length_km", 3).alias("length_km"), "max_dis", settled("mean_hdi", 4).alias("mean_hdi"))
 
 
-def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per basin and year, and per continent and year: all measures and groupings in one pass over long, narrow rows."""
-    errors = {"hdi_ix_sav": {"step": HDI_STEP}, "dof_all": {"step": DOF_STEP}, "dis_av_cms": {"relative": DIS_RELATIVE}}
-    pairs = [(n, by) for n in errors for by in ("hybas_id", "continent")]  # a row's code is its place here
-
-    def long(rows: DataFrame, names: list[str]) -> DataFrame:
-        each = []
-        for k, (n, by) in enumerate(pairs):
-            if n in names:
-                ids = (F.col("hybas_id"), F.lit(None).cast("string")) if by == "hybas_id" else (F.lit(None).cast("long"), F.col("continent"))
-                each.append(F.struct(F.lit(k).alias("code"), ids[0].alias("basin"), ids[1].alias("region"), cell_of(F.col(n), **errors[n]).alias("cell")))
-        return rows.select(F.coalesce("snap_year", F.lit(-1)).alias("snap_year"), F.inline(F.array(*each)))
-
-    units = table(spark, d, "basin_units").select("unit_id", "hybas_id", "continent", F.col("stat_year").alias("snap_year"), measured("hdi_ix_sav").alias("hdi_ix_sav")).distinct()
-    rows = long(dof_rows(spark, d), ["dof_all", "dis_av_cms"]).unionByName(long(units, ["hdi_ix_sav"]))
-    keys = ["code", "basin", "region", "snap_year"]
-    found = cell_percentiles(cell_counts(rows, keys), keys, SHARES)
-    value, measure, grouped, group = (F.lit(None).cast(t) for t in ("double", "string", "string", "string"))
-    for k, (n, by) in enumerate(pairs):
-        here = F.col("code") == k
-        value, measure, grouped = F.when(here, value_of(F.col("cell"), **errors[n])).otherwise(value), F.when(here, n).otherwise(measure), F.when(here, by).otherwise(grouped)
-        group = F.when(here, F.col("basin").cast("string") if by == "hybas_id" else F.col("region")).otherwise(group)
-    year = F.when(F.col("snap_year") != -1, F.col("snap_year"))
-    return found.select(measure.alias("measure"), grouped.alias("grouped_by"), group.alias("group_id"), year.alias("snap_year"), "p", F.round(value, 6).alias("value"), "n")
-
-
-def p2_merged_days(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of dof_all over all snapshots, combined from the parts of the separate snapshots."""
-    dof = dof_rows(spark, d)
-    part = merge_counts(value_counts(dof, ["continent", "snap_year"], F.col("dof_all"), step=DOF_STEP), groups=["continent"])
-    return percentiles(part, ["continent"], SHARES, step=DOF_STEP).withColumn("value", F.round("value", 6))
-
-
 def rivers(spark: SparkSession, d: str) -> DataFrame:
     columns = ["goid", "from_x", "from_y", "to_x", "to_y", "valid_from", "valid_to"]
     return table(spark, d, "reaches").select(columns).unionByName(table(spark, d, "mainstems").select(columns))
@@ -180,13 +143,13 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("src_table", "snap_year").agg(F.count(F.lit(1)).alias("n_orphans"), F.countDistinct("goid").alias("n_missing"))
 
 
-QUERIES = {f.__name__: f for f in (p1_river_load, p1_basin_load, p2_percentiles, p2_merged_days, p3_found, p3_basin_of_dam, p3_nearest_dam, p4_found, p4_chunks, p5_found, p5_cascade, p5_report)}
+QUERIES = {f.__name__: f for f in (p1_river_load, p1_basin_load, p3_found, p3_basin_of_dam, p3_nearest_dam, p4_found, p4_chunks, p5_found, p5_cascade, p5_report)}
 
 _M = "CASE WHEN isnan({0}) OR {0} = -999 THEN NULL ELSE {0} END"
 _DAMS = "dm AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM dams)"
-_DOF = f"""dl AS (SELECT snap_year, goid, m.h AS hybas_id, m.c AS continent, m.a AS dof_all, m.q AS dis_av_cms FROM (
+DOF_SQL = f"""dl AS (SELECT snap_year, goid, m.h AS hybas_id, m.c AS continent, m.a AS dof_all, m.q AS dis_av_cms FROM (
   SELECT snap_year, goid, max({{'l': loaded_at, 'h': hybas_id, 'c': continent, 'a': {_M.format('dof_all')}, 'q': {_M.format('dis_av_cms')}}}) AS m FROM dof_layer GROUP BY ALL))"""
-_UNITS = f"bu AS (SELECT DISTINCT unit_id, hybas_id, continent, stat_year AS snap_year, {_M.format('hdi_ix_sav')} AS hdi_ix_sav FROM basin_units)"
+UNITS_SQL = f"bu AS (SELECT DISTINCT unit_id, hybas_id, continent, stat_year AS snap_year, {_M.format('hdi_ix_sav')} AS hdi_ix_sav FROM basin_units)"
 _RIVERS = "rv AS (SELECT goid, from_x, from_y, to_x, to_y, valid_from, valid_to FROM reaches UNION SELECT goid, from_x, from_y, to_x, to_y, valid_from, valid_to FROM mainstems)"
 _SEG = "least(greatest(CASE WHEN (to_x-from_x)*(to_x-from_x)+(to_y-from_y)*(to_y-from_y) > 0 THEN ((x-from_x)*(to_x-from_x)+(y-from_y)*(to_y-from_y))/((to_x-from_x)*(to_x-from_x)+(to_y-from_y)*(to_y-from_y)) ELSE 0 END, 0), 1)"
 _P5 = """SELECT DISTINCT src_table, snap_year, rec_id, goid FROM (
@@ -195,27 +158,13 @@ _P5 = """SELECT DISTINCT src_table, snap_year, rec_id, goid FROM (
 WHERE goid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rv WHERE rv.goid = r.goid AND valid_from <= snap_year AND (valid_to IS NULL OR valid_to >= snap_year))"""
 
 
-def _rank_sql(measure: str, by: str, source: str, value: str) -> str:
-    shares = ", ".join(f"({p}::DOUBLE)" for p in SHARES)
-    return f"""SELECT '{measure}' AS measure, '{by}' AS grouped_by, CAST({by} AS VARCHAR) AS group_id, snap_year, p, round({value}, 6) AS value, n FROM (
-  SELECT {by}, snap_year, {measure} AS v, row_number() OVER (PARTITION BY {by}, snap_year ORDER BY {measure}) AS k, count(*) OVER (PARTITION BY {by}, snap_year) AS n FROM {source} WHERE {measure} IS NOT NULL
-) r JOIN (VALUES {shares}) s(p) ON k = greatest(1, CAST(ceil(p * n - 1e-9) AS BIGINT))"""
-
-
-def _step(step: float) -> str:
-    return f"round(v / {step}::DOUBLE) * {step}::DOUBLE"
-
-
-_BASE = "ln(1 + 2 * 0.001::DOUBLE / (1 - 0.001::DOUBLE))"
-_LOG = f"CASE WHEN abs(v) < 1e-9 THEN 0.0 ELSE sign(v) * exp((ceil(ln(greatest(abs(v), 1e-9) / 1e-9) / {_BASE})) * {_BASE}) * 1e-9 * (1 - 0.001::DOUBLE) END"
-
 ORACLES = {
-    "p1_river_load": f"""WITH {_DAMS}, {_DOF},
+    "p1_river_load": f"""WITH {_DAMS}, {DOF_SQL},
 a AS (SELECT nearest_river_goid AS goid, count(DISTINCT dam_id) AS n_dams, count(*) AS n_rows, round(sum({_M.format('stor_mcm')}), 3) AS stor_mcm,
   round(avg(CASE WHEN isnan(distance_to_river) OR distance_to_river = -1 THEN NULL ELSE distance_to_river END) + 1e-7, 4) AS mean_distance, max(confidence) AS max_confidence FROM dm WHERE nearest_river_goid <> -1 GROUP BY 1),
 b AS (SELECT goid, count(*) AS n_snapshots, round(avg(dof_all) + 1e-7, 4) AS mean_dof_all, round(var_pop(dof_all) + 1e-6, 3) AS var_dof_all FROM dl GROUP BY 1)
 SELECT goid, coalesce(n_dams, 0) AS n_dams, coalesce(n_rows, 0) AS n_rows, stor_mcm, mean_distance, max_confidence, coalesce(n_snapshots, 0) AS n_snapshots, mean_dof_all, var_dof_all FROM a FULL JOIN b USING (goid)""",
-    "p1_basin_load": f"""WITH {_DAMS}, {_DOF}, {_UNITS}, rr AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM reaches),
+    "p1_basin_load": f"""WITH {_DAMS}, {DOF_SQL}, {UNITS_SQL}, rr AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM reaches),
 k AS (SELECT hybas_id FROM dm UNION SELECT hybas_id FROM dl UNION SELECT hybas_id FROM rr UNION SELECT hybas_id FROM bu),
 a AS (SELECT hybas_id, count(DISTINCT dam_id) AS n_dams, round(sum({_M.format('stor_mcm')}), 3) AS stor_mcm FROM dm GROUP BY 1),
 b AS (SELECT hybas_id, count(*) AS n_dof, count(DISTINCT goid) AS n_rivers, round(avg(dof_all) + 1e-7, 4) AS mean_dof_all FROM dl GROUP BY 1),
@@ -223,8 +172,6 @@ c AS (SELECT hybas_id, count(DISTINCT reach_id) AS n_reaches, round(sum(length_k
 u AS (SELECT hybas_id, count(DISTINCT unit_id) AS n_units, round(avg(hdi_ix_sav) + 1e-7, 4) AS mean_hdi FROM bu GROUP BY 1)
 SELECT k.hybas_id, coalesce(n_dams, 0) AS n_dams, coalesce(n_dof, 0) AS n_dof, coalesce(n_rivers, 0) AS n_rivers, coalesce(n_reaches, 0) AS n_reaches, coalesce(n_units, 0) AS n_units, stor_mcm, mean_dof_all, length_km, max_dis, mean_hdi
 FROM k LEFT JOIN a ON k.hybas_id IS NOT DISTINCT FROM a.hybas_id LEFT JOIN b ON k.hybas_id IS NOT DISTINCT FROM b.hybas_id LEFT JOIN c ON k.hybas_id IS NOT DISTINCT FROM c.hybas_id LEFT JOIN u ON k.hybas_id IS NOT DISTINCT FROM u.hybas_id""",
-    "p2_percentiles": f"WITH {_DOF}, {_UNITS} " + " UNION ALL ".join(_rank_sql(m, by, src, v) for m, src, v in (("hdi_ix_sav", "bu", _step(HDI_STEP)), ("dof_all", "dl", _step(DOF_STEP)), ("dis_av_cms", "dl", _LOG)) for by in ("hybas_id", "continent")),
-    "p2_merged_days": f"WITH {_DOF} SELECT group_id AS continent, p, value, n FROM (" + _rank_sql("dof_all", "continent", "(SELECT continent, 0 AS snap_year, dof_all FROM dl)", _step(DOF_STEP)) + ")",
     "p3_found": f"""WITH {_RIVERS}, pt AS (SELECT DISTINCT dam_id, x, y, coalesce(nearest_river_goid, -1) AS stored, CASE WHEN isnan(distance_to_river) THEN NULL ELSE distance_to_river END AS dist FROM dams WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0)),
 pr AS (SELECT dam_id, goid, sqrt(power(x - (from_x + t*(to_x-from_x)), 2) + power(y - (from_y + t*(to_y-from_y)), 2)) AS d FROM (
   SELECT *, {_SEG} AS t FROM (SELECT DISTINCT dam_id, x, y FROM pt) p JOIN rv ON y BETWEEN least(from_y, to_y) - 5000 AND greatest(from_y, to_y) + 5000 WHERE x BETWEEN least(from_x, to_x) - 5000 AND greatest(from_x, to_x) + 5000)),
@@ -234,7 +181,7 @@ SELECT DISTINCT dam_id, coalesce(m.g, -1) AS river_goid FROM pt LEFT JOIN nr USI
     "p3_nearest_dam": """WITH pl AS (SELECT x, y, min(dam_id) AS dam_id FROM dams WHERE x IS NOT NULL AND y IS NOT NULL AND NOT (x = 0 AND y = 0) GROUP BY 1, 2),
 pr AS (SELECT a.dam_id, b.dam_id AS other_id, sqrt(power(a.x-b.x, 2) + power(a.y-b.y, 2)) AS d FROM pl a JOIN pl b ON b.y BETWEEN a.y - 2000 AND a.y + 2000 WHERE a.dam_id <> b.dam_id AND abs(a.x - b.x) <= 2000)
 SELECT dam_id, m.o AS other_id, round(m.d, 3) AS distance FROM (SELECT dam_id, min({'d': d, 'o': other_id}) AS m FROM pr WHERE d <= 2000 GROUP BY 1)""",
-    "p4_found": f"""WITH {_DOF}, pr AS (SELECT a.snap_year AS y0, a.goid AS g0, a.dof_all AS v0, b.snap_year AS y1, b.goid AS g1, b.dof_all AS v1
+    "p4_found": f"""WITH {DOF_SQL}, pr AS (SELECT a.snap_year AS y0, a.goid AS g0, a.dof_all AS v0, b.snap_year AS y1, b.goid AS g1, b.dof_all AS v1
   FROM (SELECT *, CASE snap_year WHEN 2010 THEN 2015 ELSE 2020 END AS pair FROM dl WHERE snap_year < 2020) a FULL JOIN (SELECT *, snap_year AS pair FROM dl WHERE snap_year > 2010) b ON a.pair = b.pair AND a.goid = b.goid)
 SELECT coalesce(y1, CASE y0 WHEN 2010 THEN 2015 ELSE 2020 END) AS snap_year, coalesce(g0, g1) AS goid, CASE WHEN g0 IS NULL THEN 'added' WHEN g1 IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
 FROM pr WHERE g0 IS NULL OR g1 IS NULL OR (v0 IS NULL) <> (v1 IS NULL) OR abs(v0 - v1) > 0.000001""",
