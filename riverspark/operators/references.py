@@ -85,13 +85,13 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
     found = cut(found, "orphans0")
     inner, leaves = [k for k in keys if k.child in parents], [k for k in keys if k.child not in parents and k.parent in children]
     first = cut(found.where(F.col("src_table").isin(list(parents))).select("src_table", "rec_id", "_p", "level").distinct(), "orphan-records0")
-    edges = [(k, cut(refs(k).distinct(), "refs"), cut(owners(k), "owners")) for k in inner]
-    links = _links(edges)
+    links = _links([(k, refs(k), owners(k)) for k in inner])
     if links is not None:
         seen = _doubled_records(links, first)
         lost = seen.select(F.col("src_table").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("level").alias("_l"))
         found = found.unionByName(links.join(lost, ["_table", "_parent", "_p"]).select("src_table", "period", "_p", "rec_id", "ref", (F.col("_l") + 1).alias("level")))
     else:
+        edges = [(k, cut(refs(k).distinct(), "refs"), cut(owners(k), "owners")) for k in inner]
         more, seen = _records_by_level(edges, first, shaped, max_rounds)
         # a reference that was reached in several rounds keeps its lowest level
         found = found.unionByName(more).groupBy("src_table", "period", "_p", "rec_id", "ref").agg(F.min("level").alias("level"))
@@ -109,9 +109,9 @@ def _links(edges: list[tuple[ForeignKey, DataFrame, DataFrame]]) -> DataFrame |
     """Each reference that holds, with its one parent record; None if a reference holds several, or a record has several references."""
     links = None
     for k, ref, own in edges:
-        if not own.groupBy("ref").agg(F.min("rec_id").alias("a"), F.max("rec_id").alias("b")).where("a <> b").isEmpty():
-            return None
-        one = ref.join(own, "ref").where(_holds("valid_from", "valid_to")).select(F.lit(k.child).alias("src_table"), "period", "_p", ref["rec_id"], "ref", F.lit(k.parent).alias("_table"), own["rec_id"].alias("_parent")).distinct()
+        holder = own.select(F.col("ref").alias("_own"), F.col("rec_id").alias("_parent"), "valid_from", "valid_to")
+        held = ref.join(holder, F.col("ref") == F.col("_own")).where(_holds("valid_from", "valid_to"))
+        one = held.select(F.lit(k.child).alias("src_table"), "period", "_p", "rec_id", "ref", F.lit(k.parent).alias("_table"), "_parent").distinct()
         links = one if links is None else links.unionByName(one)
     links = cut(links, "links")
     several = links.groupBy("src_table", "rec_id", "_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
