@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverspark.functions.special import chi2_p_value, normal_p, normal_p_value, student_p_value
-from riverspark.session import cut
 
-DENSE = 3_000
+#: Places of a lag model at most: their weights are factorised on the driver, within a band of about the root of their number.
+MAX_PLACES = 50_000
+#: Largest |rho|.
+BOUND = 0.999
 
 
 def welch(df: DataFrame, high: Column, metrics: list[str]) -> DataFrame:
@@ -144,63 +146,116 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> Fit:
     return Fit(n, np.r_[mean[0] - b @ mean[1:], b], float(r2), float(1 - (1 - r2) * (n - 1) / (n - k - 1)), float(aic))
 
 
-def weight_traces(weights: DataFrame, n: int, order: int = 40, probes: int = 32, dense: int = DENSE) -> np.ndarray:
-    """tr(W^k) for k = 0 to order. Up to `dense` places exactly, from the eigenvalues; beyond, by random probes.
+class Determinant:
+    """ln|I - rho W| of row-standardised sparse weights, exact at any rho between -1 and 1 and any number of places.
 
-    A probe is a vector of signs drawn by hash; each power is one join of the weights with the last vectors and one sum,
-    so W never is in one place. The error of the estimate is about tr / sqrt(n * probes).
+    Places are put in the order of a breadth-first walk (reverse Cuthill-McKee), which gathers the weights in a band;
+    elimination within the band needs no pivots, as I - rho W is diagonally dominant. Cost: places times band squared.
     """
-    if n <= dense:
-        rows = weights.select("i", "j", "w").collect()  # at most dense places with k neighbours each
-        ids = {x: k for k, x in enumerate(sorted({r["i"] for r in rows} | {r["j"] for r in rows}))}
-        w = np.zeros((max(n, len(ids)),) * 2)
-        for r in rows:
-            w[ids[r["i"]], ids[r["j"]]] = r["w"]
-        e = np.linalg.eigvals(w)
-        return np.array([float(np.sum(e**k).real) for k in range(order + 1)])
-    sign = lambda c: F.array(*[F.when(F.pmod(F.xxhash64(c, F.lit(p)), F.lit(2)) == 0, 1.0).otherwise(-1.0) for p in range(probes)])
-    ids = weights.select(F.col("i").alias("id")).distinct()
-    x = ids.select("id", sign(F.col("id")).alias("x0"), sign(F.col("id")).alias("x"))
-    out = [float(n)]
-    for k in range(1, order + 1):
-        step = weights.join(x.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col("xj")[p]).alias(f"p{p}") for p in range(probes)])
-        x = cut(x.select("id", "x0").join(step.select(F.col("i").alias("id"), F.array(*[F.col(f"p{p}") for p in range(probes)]).alias("x")), "id"), f"trace{k}")
-        dots = F.aggregate(F.arrays_zip(F.col("x").alias("a"), F.col("x0").alias("b")), F.lit(0.0), lambda s, v: s + v["a"] * v["b"])
-        out.append(float(x.agg(F.sum(dots)).first()[0] or 0.0) / probes)
-    return np.array(out)
-
-
-def spatial_lag(df: DataFrame, weights: DataFrame, y: str, xs: list[str], dense: int = DENSE) -> tuple[Fit, np.ndarray]:
-    """Maximum likelihood of y = rho W y + X b + e, and the traces of W. df: id, y, xs, complete; weights (i, j, w), row-standardised.
-
-    The likelihood is concentrated on rho: it needs the Gram matrix of (y, Wy, X) and ln|I - rho W| = -sum rho^k tr(W^k)/k.
+
+    def __init__(self, places: int, rows: np.ndarray, columns: np.ndarray, w: np.ndarray):
+        order = _walk_order(places, rows, columns)
+        place = np.empty(places, np.int64)
+        place[order] = np.arange(places)
+        self.n, self.i, self.j, self.w = places, place[rows], place[columns], w
+        self.band = int(np.abs(self.i - self.j).max()) if len(w) else 0
+
+    def log(self, rho: float) -> float:
+        n, b = self.n, self.band
+        if not b:
+            return 0.0
+        band = np.zeros((n, 2 * b + 1))  # row r holds columns r-b to r+b
+        band[:, b] = 1.0
+        np.add.at(band, (self.i, self.j - self.i + b), -rho * self.w)
+        flat, width, total = band.reshape(-1), 2 * b + 1, 0.0
+        size = flat.itemsize
+        for k in range(n):
+            m = min(b, n - 1 - k)
+            pivot = band[k, b]
+            total += math.log(pivot)
+            if m:
+                # one row down in a column is one row of the band less one place
+                below = np.lib.stride_tricks.as_strided(flat[(k + 1) * width + b - 1 :], (m,), (2 * b * size,))
+                block = np.lib.stride_tricks.as_strided(flat[(k + 1) * width + b :], (m, m), (2 * b * size, size))
+                live = np.flatnonzero(below)
+                if len(live):
+                    block[live] -= np.outer(below[live] / pivot, band[k, b + 1 : b + 1 + m])
+        return total
+
+    def mean_diagonal(self, rho: float, h: float = 1e-4) -> float:
+        """The mean diagonal of (I - rho W)^-1, from the derivative of the log-determinant (error about h^2)."""
+        return 1 - rho / self.n * (self.log(rho + h) - self.log(rho - h)) / (2 * h) if self.n else 1.0
+
+
+def _walk_order(places: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Places in reverse Cuthill-McKee order of the links in either direction."""
+    a, b = np.r_[rows, columns], np.r_[columns, rows]
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    first = np.searchsorted(a, np.arange(places + 1))
+    degree = np.diff(first)
+    seen, out = np.zeros(places, bool), []
+    for start in np.argsort(degree, kind="stable"):
+        if seen[start]:
+            continue
+        seen[start] = True
+        queue = [int(start)]
+        for p in queue:
+            near = np.unique(b[first[p] : first[p + 1]])
+            near = near[~seen[near]]
+            seen[near] = True
+            queue += near[np.argsort(degree[near], kind="stable")].tolist()
+        out += queue
+    return np.array(out[::-1], np.int64)
+
+
+def determinant(weights: DataFrame, limit: int = MAX_PLACES) -> Determinant:
+    """Of weights (i, j, w) between at most `limit` places, which is checked before they are fetched."""
+    size = weights.agg(F.countDistinct("i").alias("n"), F.count(F.lit(1)).alias("links")).first()
+    if size["n"] > limit or size["links"] > 50 * limit:
+        raise ValueError(f"a lag model is limited to {limit} places and 50 links each")
+    rows = weights.select("i", "j", "w").collect()
+    i, j = (np.array([r[c] for r in rows], np.int64) for c in ("i", "j"))
+    ids = np.unique(np.r_[i, j])
+    return Determinant(len(ids), np.searchsorted(ids, i), np.searchsorted(ids, j), np.array([r["w"] for r in rows], float))
+
+
+def spatial_lag(df: DataFrame, weights: DataFrame, y: str, xs: list[str]) -> tuple[Fit, Determinant]:
+    """Maximum likelihood of y = rho W y + X b + e, and the determinant. df: id, y, xs, complete; weights (i, j, w), row-standardised.
+
+    The likelihood is concentrated on rho: it needs the Gram matrix of (y, Wy, X), made by Spark, and ln|I - rho W|, which
+    is exact at every size. rho is sought between -0.999 and 0.999; one at the bound is an error.
     """
     lag = weights.join(df.select(F.col("id").alias("j"), F.col(y).alias("_y")), "j").groupBy(F.col("i").alias("id")).agg(F.sum(F.col("w") * F.col("_y")).alias("_wy"))
     n, mean, g = gram(df.join(lag, "id"), [y, "_wy", *xs])
     k = len(xs)
     if n <= k + 2:
         raise ValueError(f"{n} complete cases are too few")
-    traces = weight_traces(weights, n, dense=dense, order=120 if n <= dense else 40)
+    det = determinant(weights)
     gx = g[2:, 2:]
     b0, bl = np.linalg.lstsq(gx, g[2:, 0], rcond=None)[0], np.linalg.lstsq(gx, g[2:, 1], rcond=None)[0]
     e00 = g[0, 0] - b0 @ g[2:, 0]
     e01 = g[0, 1] - b0 @ g[2:, 1]
     e11 = g[1, 1] - bl @ g[2:, 1]
-    powers = np.arange(1, len(traces))
 
     def likelihood(r: float) -> float:
-        return -float(np.sum(r**powers * traces[1:] / powers)) - n / 2 * math.log(max(e00 - 2 * r * e01 + r * r * e11, 1e-300) / n)
+        return det.log(r) - n / 2 * math.log(max(e00 - 2 * r * e01 + r * r * e11, 1e-300) / n)
 
-    lo, hi, golden = -0.95, 0.95, (math.sqrt(5) - 1) / 2
+    lo, hi, golden = -BOUND, BOUND, (math.sqrt(5) - 1) / 2
     a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-    while hi - lo > 1e-9:
-        if likelihood(a) < likelihood(b):
-            lo, a, b = a, b, a + golden * (hi - a)
+    fa, fb = likelihood(a), likelihood(b)
+    while hi - lo > 1e-7:
+        if fa < fb:
+            lo, a, fa = a, b, fb
             b = lo + golden * (hi - lo)
+            fb = likelihood(b)
         else:
-            hi, b = b, a
+            hi, b, fb = b, a, fa
             a = hi - golden * (hi - lo)
+            fa = likelihood(a)
     rho = (lo + hi) / 2
+    if BOUND - abs(rho) < 1e-4:
+        raise ValueError("the likelihood has no maximum below |rho| = 1")
     h = 1e-4
     curve = -(likelihood(rho + h) - 2 * likelihood(rho) + likelihood(rho - h)) / h**2
     z = rho * math.sqrt(curve) if curve > 0 else math.nan
@@ -210,16 +265,10 @@ def spatial_lag(df: DataFrame, weights: DataFrame, y: str, xs: list[str], dense:
     full = likelihood(rho) - n / 2 * (math.log(2 * math.pi) + 1)
     numbers = (r2, 1 - (1 - r2) * (n - 1) / (n - k - 2), 2 * (k + 2) - 2 * full, rho, z, normal_p(z))
     fit = Fit(n, np.r_[mean[0] - rho * mean[1] - beta @ mean[2:], beta], *map(float, numbers))
-    return fit, traces
-
+    return fit, det
 
-def effects(fit: Fit, traces: np.ndarray) -> list[tuple[float, float, float]]:
-    """(direct, indirect, total) of each column: the mean diagonal and row sum of (I - rho W)^-1 times the coefficient.
 
-    The series ends where |rho|^k is below 1e-4 (5 to 30 terms) or the traces end.
-    """
-    k = min(30, max(5, math.ceil(math.log(1e-4) / math.log(abs(fit.rho))))) if 0 < abs(fit.rho) < 1 else 0
-    k = min(k, len(traces) - 1)
-    direct = float(np.sum(fit.rho ** np.arange(k + 1) * traces[: k + 1])) / traces[0]
-    total = 1 / (1 - fit.rho)
+def effects(fit: Fit, det: Determinant) -> list[tuple[float, float, float]]:
+    """(direct, indirect, total) of each column: the mean diagonal and row sum of (I - rho W)^-1 times the coefficient."""
+    direct, total = det.mean_diagonal(fit.rho), 1 / (1 - fit.rho)
     return [(float(b * direct), float(b * (total - direct)), float(b * total)) for b in fit.coefficients[1:]]

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riverspark.functions.classes import climate_zone, dof_class, latitude_class, length_class, moran_label, percent_change, signed_log, stars, threshold_flag, width_by_discharge, width_by_order
+from riverspark.operators.ordering import quantiles
 from riverspark.operators.tables import keyed_replace
 from riverspark.plans.base import Catalog, basin_table, dams, layer, reaches, settled, table, units
 from riverspark.plans.scans import LINES, OBB, RASTER, annotation_lines, cells
@@ -267,7 +268,7 @@ def flt4_significant_change(spark, d):
 def flt5_percentile_clip(spark, d):
     """Cells up to the 95th percentile of the filled ones, in four classes of equal width."""
     c = cells(spark, d).where("n > 0")
-    k = c.where(F.col("n") <= c.agg(F.percentile("n", F.lit(0.95))).scalar())
+    k = c.where(F.col("n") <= quantiles(c.select("n"), [], "n", {"p": 0.95}).scalar())
     lo, hi = k.agg(F.min("n")).scalar(), k.agg(F.max("n")).scalar()
     cls = F.coalesce(F.least(F.lit(4), F.lit(1) + F.floor(F.try_divide((F.col("n") - lo) * 4, hi - lo))), F.lit(1)).cast("long")
     return k.select("row", "col", "n", cls.alias("cls"))

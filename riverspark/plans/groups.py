@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riverspark.functions.classes import climate_zone, dof_class, length_class
 from riverspark.operators.bins import auto_bins, signed_histogram, split_bins
+from riverspark.operators.ordering import next_match, quantiles, ranks
 from riverspark.operators.spatial import regions_of
 from riverspark.operators.tables import differences
 from riverspark.plans.base import Catalog, basin_table, basins, dams, dim, layer, reaches, settled, table
@@ -157,7 +158,9 @@ def agg14_discharge_histogram(spark, d):
 
 @C.add("SELECT count(*) AS n, round(avg(dis) + 1e-7, 4) AS mean, round(stddev_pop(dis) + 1e-7, 4) AS sd, round(median(dis), 6) AS median FROM re", "re")
 def agg14_discharge_summary(spark, d):
-    return reaches(spark, d).agg(F.count(F.lit(1)).alias("n"), settled(F.avg("dis"), 4).alias("mean"), settled(F.stddev_pop("dis"), 4).alias("sd"), F.round(F.median("dis"), 6).alias("median"))
+    r = reaches(spark, d).select("dis")
+    whole = r.agg(F.count(F.lit(1)).alias("n"), settled(F.avg("dis"), 4).alias("mean"), settled(F.stddev_pop("dis"), 4).alias("sd"))
+    return whole.join(quantiles(r, [], "dis", {"m": 0.5}), F.lit(True), "left").select("n", "mean", "sd", F.round("m", 6).alias("median"))
 
 
 @C.add("WITH s AS (SELECT CASE WHEN e10 = e15 AND e15 = e20 THEN 0 ELSE (e20 - e10) / 10.0::DOUBLE END AS s FROM bsn) SELECT count(*) FILTER (WHERE s > 0) AS up, count(*) FILTER (WHERE s < 0) AS down, count(*) FILTER (WHERE s = 0) AS flat, round(avg(s) + 1e-7, 4) AS mean FROM s", "bsn")
@@ -194,7 +197,10 @@ def agg16_class_by_order(spark, d):
 
 @C.add("SELECT continent, snap_year, round(avg(dof_all) + 1e-7, 4) AS mean, round(median(dof_all) + 1e-7, 5) AS median, count(dof_all) AS n FROM la WHERE continent IS NOT NULL GROUP BY 1, 2", "la")
 def agg17_dof_by_continent(spark, d):
-    return layer(spark, d).where("continent IS NOT NULL").groupBy("continent", "snap_year").agg(settled(F.avg("dof_all"), 4).alias("mean"), F.round(F.median("dof_all") + F.lit(1e-7), 5).alias("median"), F.count("dof_all").alias("n"))
+    keys = ["continent", "snap_year"]
+    a = layer(spark, d).where("continent IS NOT NULL").select(*keys, "dof_all")
+    g = a.groupBy(*keys).agg(settled(F.avg("dof_all"), 4).alias("mean"), F.count("dof_all").alias("n"))
+    return g.join(quantiles(a, keys, "dof_all", {"m": 0.5}), keys, "left").select(*keys, "mean", F.round(F.col("m") + F.lit(1e-7), 5).alias("median"), "n")
 
 
 @C.add("WITH " + _FR + " SELECT hybas_id, count(*) AS n, round(avg(dof_all) + 1e-7, 4) AS mean, round(sum(length_km) + 1e-7, 3) AS km FROM fg WHERE hybas_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, hybas_id LIMIT 10", "la re")
@@ -326,8 +332,9 @@ _BASIN_FR = ", bf AS (SELECT hybas_id, count(*) AS n, sum(length_km) AS km, avg(
 
 
 def by_basin(spark: SparkSession, d: str) -> DataFrame:
-    g = classed(spark, d).where("hybas_id IS NOT NULL").groupBy("hybas_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length_km").alias("km"), F.avg("dof_all").alias("mean"), F.median("dof_all").alias("med"))
-    return g.withColumn("density", F.col("km") / F.col("n"))
+    rows = classed(spark, d).where("hybas_id IS NOT NULL").select("hybas_id", "length_km", "dof_all")
+    g = rows.groupBy("hybas_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length_km").alias("km"), F.avg("dof_all").alias("mean"))
+    return g.join(quantiles(rows, ["hybas_id"], "dof_all", {"med": 0.5}), "hybas_id", "left").withColumn("density", F.col("km") / F.col("n"))
 
 
 @C.add("WITH " + _FR + _BASIN_FR + " SELECT round(corr(n, mean) + 1e-7, 4) AS n_mean, round(corr(km, mean) + 1e-7, 4) AS km_mean, round(corr(density, mean) + 1e-7, 4) AS density_mean FROM bf", "la re")
@@ -338,8 +345,8 @@ def rpt3_correlations(spark, d):
 @C.add("WITH " + _FR + _BASIN_FR + " SELECT hybas_id, n, round(density + 1e-7, 4) AS density, rank() OVER (ORDER BY round(density + 1e-7, 4) DESC) AS r, mean > 30 AND med < 10 AS skewed FROM bf", "la re")
 def rpt4_skewed_basins(spark, d):
     """Density ranking, and basins whose mean is far above their median."""
-    b = by_basin(spark, d).withColumn("density", settled("density", 4))
-    return b.select("hybas_id", "n", "density", F.rank().over(Window.orderBy(F.desc("density"))).cast("long").alias("r"), ((F.col("mean") > 30) & (F.col("med") < 10)).alias("skewed"))
+    b = ranks(by_basin(spark, d).withColumn("density", settled("density", 4)), -F.col("density"), "r")
+    return b.select("hybas_id", "n", "density", "r", ((F.col("mean") > 30) & (F.col("med") < 10)).alias("skewed"))
 
 
 @C.add("WITH " + _FR + ", c AS (SELECT cls, avg(dis) AS m FROM fg WHERE cls IS NOT NULL GROUP BY 1), u AS (SELECT m AS u FROM c WHERE cls = 0) SELECT cls, round(m / u + 1e-7, 4) AS ratio, rank() OVER (ORDER BY m DESC) AS r, m > lag(m) OVER (ORDER BY cls) AS rising FROM c, u", "la re")
@@ -445,5 +452,4 @@ def set6_differences(spark, d):
 @C.add("SELECT dam_id, nxt FROM (SELECT dam_id, first_year, min(CASE WHEN z_level = 16 THEN dam_id END) OVER (PARTITION BY first_year ORDER BY dam_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM da)", "da")
 def win1_next_match(spark, d):
     """The next row that matches, in order."""
-    w = Window.partitionBy("first_year").orderBy("dam_id").rowsBetween(1, Window.unboundedFollowing)
-    return dams(spark, d).select("dam_id", F.min(F.when(F.col("z_level") == 16, F.col("dam_id"))).over(w).alias("nxt"))
+    return next_match(dams(spark, d).select("dam_id", "first_year", "z_level"), ["first_year"], "dam_id", F.col("z_level") == 16, "nxt").select("dam_id", "nxt")

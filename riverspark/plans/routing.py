@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverspark.operators.network import accumulate, dense_ids, dissolve, dof_score, fragmentation, pass_ratio, regulation, river_status, small_stretches, trapping
+from riverspark.operators.ordering import running_sum
 from riverspark.plans.base import Catalog, dams, layer, reaches, settled
 from riverspark.session import cut
 
@@ -269,8 +270,7 @@ def net15_upstream_index(spark, d):
     r = reaches(spark, d).where("hybas_id IS NOT NULL")
     ups = r.groupBy("hybas_id", F.col("ndoid").alias("noid")).agg(F.count("noid").alias("n_up"))
     j = r.select("hybas_id", "noid").join(ups, ["hybas_id", "noid"], "left").na.fill(0, ["n_up"])
-    before = Window.partitionBy("hybas_id").orderBy("noid").rowsBetween(Window.unboundedPreceding, -1)
-    return j.select("hybas_id", F.col("noid").alias("node"), "n_up", F.coalesce(F.sum("n_up").over(before), F.lit(0)).alias("up_ptr"))
+    return running_sum(j, ["hybas_id"], ["noid"], "n_up", "up_ptr").select("hybas_id", F.col("noid").alias("node"), "n_up", "up_ptr")
 
 
 @C.add("WITH RECURSIVE " + NETWORK + ", ac AS (SELECT goid AS node, length_km AS v FROM re UNION ALL SELECT s.down, ac.v FROM ac JOIN nt s ON s.goid = ac.node WHERE s.down IS NOT NULL) SELECT node AS goid, round(sum(v) + 1e-7, 3) AS upstream_km FROM ac GROUP BY 1", "re")

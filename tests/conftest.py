@@ -1,6 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
+# before numpy is loaded: its thread pool can hang beside the gateway's threads
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))

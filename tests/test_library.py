@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from riverspark.functions.geometry import haversine_km, min_area_box, point_segment, robinson, segment_meets_box, smallest_box, thinned
 from riverspark.functions.special import betainc, chi2_p, gammaincc, normal_p, poisson_quantile, student_p
 from riverspark.operators.bins import auto_bins, signed_histogram, split_bins
-from riverspark.operators.ordering import positions
+from riverspark.operators.ordering import next_match, positions, quantiles, ranks, running_sum
 from riverspark.operators.simulation import convergence, empirical, running_error, strong_uniform, thinned as thin, uniform, with_missed
 from riverspark.operators.spatial import knn, nearest_regions, overlaps, regions_of, segments_meeting
-from riverspark.operators.statistics import effects, fdr, gram, independence, moran, ols, spatial_lag, vif, weight_traces, welch
+from riverspark.operators.statistics import Determinant, determinant, effects, fdr, gram, independence, moran, ols, spatial_lag, vif, welch
 from riverspark.operators.tables import copy_by_key, differences, keyed_replace
 from riverspark.sources.config import parse_flag, positive, scenario_rows
 from riverspark.sources.obb import obb_points
@@ -216,10 +216,44 @@ def test_spatial_lag_recovers_its_parameters(spark):
     assert direct + indirect == pytest.approx(total)
 
 
-def test_traces_by_probes_are_near_the_exact_ones(spark):
-    ws = spark.createDataFrame(ring(300), "i long, j long, w double")
-    exact, near = weight_traces(ws, 300, order=4), weight_traces(ws, 300, order=4, probes=64, dense=10)
-    assert near == pytest.approx(exact, abs=12)
+def test_log_determinant_is_exact_at_any_size(spark):
+    r = np.random.default_rng(3)
+    at = r.random((300, 2))
+    near = np.argsort(((at[:, None] - at[None]) ** 2).sum(axis=2), axis=1)[:, 1:6]
+    w = np.zeros((300, 300))
+    np.put_along_axis(w, near, 0.2, axis=1)
+    det = Determinant(300, np.repeat(np.arange(300), 5), near.ravel(), np.full(1500, 0.2))
+    assert det.band < 120
+    for rho in (-0.9, 0.0, 0.5, 0.98):
+        assert det.log(rho) == pytest.approx(np.linalg.slogdet(np.eye(300) - rho * w)[1], abs=1e-9)
+        assert det.mean_diagonal(rho) == pytest.approx(np.trace(np.linalg.inv(np.eye(300) - rho * w)) / 300, abs=1e-5)
+    for n in (2_999, 3_001):
+        i, j, v = map(np.array, zip(*ring(n)))
+        t = 2 * np.pi * np.arange(n) / n
+        exact = np.log(1 - 0.95 * (np.cos(t) + np.cos(2 * t)) / 2).sum()
+        assert Determinant(n, i, j, v).log(0.95) == pytest.approx(exact, abs=1e-6)
+    assert Determinant(3, np.zeros(0, int), np.zeros(0, int), np.zeros(0)).log(0.5) == 0.0
+    with pytest.raises(ValueError):
+        determinant(spark.createDataFrame(ring(30), "i long, j long, w double"), limit=10)
+
+
+def test_order_without_a_single_task(spark):
+    r = np.random.default_rng(8)
+    data = [(k, None if k % 11 == 0 else int(g), int(v), None if k % 13 == 0 else float(q)) for k, (g, v, q) in enumerate(zip(r.choice([1, 1, 1, 2, 3], 500), r.integers(0, 9, 500), r.integers(0, 40, 500)))]
+    d = spark.createDataFrame(data, "k long, g int, v int, q double").repartition(5).withColumn("pos", F.lit("x"))
+    got = {x["k"]: x["s"] for x in running_sum(d, ["g"], ["k"], "v", "s").collect()}
+    hit = {x["k"]: x["nxt"] for x in next_match(d.where("g IS NOT NULL"), ["g"], "k", F.col("v") == 4, "nxt").collect()}
+    for k, g, _, _ in data:
+        assert got[k] == sum(v for a, b, v, _ in data if b == g and a < k)
+        if g is not None:
+            assert hit[k] == min((a for a, b, v, _ in data if b == g and a > k and v == 4), default=None)
+    rank = {x["k"]: x["r"] for x in ranks(d, F.col("v"), "r").collect()}
+    assert all(rank[k] == 1 + sum(b < v for _, _, b, _ in data) for k, _, v, _ in data)
+    q = {x["g"]: x for x in quantiles(d, ["g"], "q", {"med": 0.5, "high": 0.975, "most": 1.0}).collect()}
+    for g in (None, 1, 2, 3):
+        values = [v for _, b, _, v in data if b == g and v is not None]
+        assert (q[g]["med"], q[g]["high"], q[g]["most"]) == pytest.approx((np.median(values), np.quantile(values, 0.975), max(values)))
+    assert quantiles(d.limit(0), ["g"], "q", {"med": 0.5}).count() == running_sum(d.limit(0), ["g"], ["k"], "v", "s").count() == 0
 
 
 def test_moran(spark):
