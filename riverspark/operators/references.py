@@ -85,11 +85,13 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
     found = cut(found, "orphans0")
     inner, leaves = [k for k in keys if k.child in parents], [k for k in keys if k.child not in parents and k.parent in children]
     first = cut(found.where(F.col("src_table").isin(list(parents))).select("src_table", "rec_id", "_p", "level").distinct(), "orphan-records0")
-    links = _links([(k, refs(k), owners(k)) for k in inner])
+    names = sorted(tables)
+    links = _links([(k, refs(k), owners(k)) for k in inner], names)
     if links is not None:
-        seen = _doubled_records(links, first)
-        lost = seen.select(F.col("src_table").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("level").alias("_l"))
-        found = found.unionByName(links.join(lost, ["_table", "_parent", "_p"]).select("src_table", "period", "_p", "rec_id", "ref", (F.col("_l") + 1).alias("level")))
+        coded = _doubled_records(links, first.select(_code(names, F.col("src_table")).alias("_t"), "rec_id", "_p", "level"))
+        lost = coded.select(F.col("_t").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("level").alias("_l"))
+        found = found.unionByName(links.join(lost, ["_table", "_parent", "_p"]).select(_name(names, F.col("_t")).alias("src_table"), "period", "_p", "rec_id", "ref", (F.col("_l") + 1).alias("level")))
+        seen = coded.select(_name(names, F.col("_t")).alias("src_table"), "rec_id", "_p", "level")
     else:
         edges = [(k, cut(refs(k).distinct(), "refs"), cut(owners(k), "owners")) for k in inner]
         more, seen = _records_by_level(edges, first, shaped, max_rounds)
@@ -105,32 +107,45 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
     return _finished(found)
 
 
-def _links(edges: list[tuple[ForeignKey, DataFrame, DataFrame]]) -> DataFrame | None:
+def _code(names: list[str], table: Column) -> Column:
+    """The number of a table's name: whole numbers join faster."""
+    return (F.array_position(F.array(*[F.lit(n) for n in names]), table) - 1).cast("int")
+
+
+def _name(names: list[str], code: Column) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), code)
+
+
+def _links(edges: list[tuple[ForeignKey, DataFrame, DataFrame]], names: list[str]) -> DataFrame | None:
     """Each reference that holds, with its one parent record; None if a reference holds several, or a record has several references."""
     links = None
     for k, ref, own in edges:
         holder = own.select(F.col("ref").alias("_own"), F.col("rec_id").alias("_parent"), "valid_from", "valid_to")
         held = ref.join(holder, F.col("ref") == F.col("_own")).where(_holds("valid_from", "valid_to"))
-        one = held.select(F.lit(k.child).alias("src_table"), "period", "_p", "rec_id", "ref", F.lit(k.parent).alias("_table"), "_parent").distinct()
+        one = held.select(F.lit(names.index(k.child)).alias("_t"), "period", "_p", "rec_id", "ref", F.lit(names.index(k.parent)).alias("_table"), "_parent").distinct()
         links = one if links is None else links.unionByName(one)
     links = cut(links, "links")
-    several = links.groupBy("src_table", "rec_id", "_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = links.groupBy("_t", "rec_id", "_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return links if several.isEmpty() else None
 
 
 def _doubled_records(links: DataFrame, first: DataFrame) -> DataFrame:
-    """Orphaned records (src_table, rec_id, _p, level): those of first and all that descend from them."""
-    record, above = ["src_table", "rec_id", "_p"], {"src_table": "_table", "rec_id": "_parent"}
-    jumps, seen, length = links.select(*record, *above.values()), first, 1
+    """Orphaned records (_t, rec_id, _p, level): those of first and all that descend from them.
+
+    A record leaves the links once it is an orphan: what descends from it is found through it.
+    """
+    record, above = ["_t", "rec_id", "_p"], ["_table", "_parent", "_p"]
+    seen, length = first, 1
+    jumps = links.select("_t", "rec_id", *above).join(first.select(record), record, "left_anti")
     while True:
-        lost = seen.withColumnsRenamed(above)
-        new = jumps.join(lost, [*above.values(), "_p"]).select(*record, (F.col("level") + length).cast("int").alias("level"))
-        new = cut(new.join(seen.select(record), record, "left_anti"), "orphan-records")
+        lost = seen.select(F.col("_t").alias("_table"), F.col("rec_id").alias("_parent"), "_p", "level")
+        met = cut(jumps.join(lost, above, "left"), "links")
+        new = met.where("level IS NOT NULL").select(*record, (F.col("level") + length).cast("int").alias("level"))
         if new.isEmpty():  # a record further away would have an ancestor at this distance
             return seen
         seen, length = seen.unionByName(new), length * 2
-        further = jumps.select(F.col("src_table").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("_table").alias("_t2"), F.col("_parent").alias("_p2"))
-        jumps = cut(jumps.join(further, [*above.values(), "_p"]).select(*record, F.col("_t2").alias("_table"), F.col("_p2").alias("_parent")), "links")
+        further = jumps.select(F.col("_t").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("_table").alias("_t2"), F.col("_parent").alias("_p2"))
+        jumps = cut(met.where("level IS NULL").join(further, above).select(*record, F.col("_t2").alias("_table"), F.col("_p2").alias("_parent")), "links")
 
 
 def _records_by_level(edges: list[tuple[ForeignKey, DataFrame, DataFrame]], first: DataFrame, shaped, max_rounds: int) -> tuple[DataFrame, DataFrame]:
