@@ -66,6 +66,7 @@ def _quoted(name: str) -> str:
 class Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.schema, self.path, self.layer, self.rows = schema, options["path"], options["layer"], int(options.get("rows", ROWS))
+        self.where = options.get("where", "")
 
     def partitions(self) -> Sequence[InputPartition]:
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as c:
@@ -78,7 +79,7 @@ class Reader(DataSourceReader):
         plain = [f.name for f in self.schema.fields[:-5]]
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as c:
             (geometry,) = c.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (self.layer,)).fetchone()
-            sql = f"SELECT {', '.join(map(_quoted, [*plain, geometry]))} FROM {_quoted(self.layer)} WHERE rowid BETWEEN ? AND ?"
+            sql = f"SELECT {', '.join(map(_quoted, [*plain, geometry]))} FROM {_quoted(self.layer)} WHERE rowid BETWEEN ? AND ?" + (f" AND ({self.where})" if self.where else "")
             for *values, blob in c.execute(sql, (partition.first, partition.last)):
                 wkb = None
                 if blob:
@@ -89,7 +90,8 @@ class Reader(DataSourceReader):
 class GeoPackageSource(DataSource):
     """spark.read.format("geopackage").option("layer", name).load(path): the layer's columns, then wkb, min_x, min_y, max_x, max_y.
 
-    Null or empty geometries have null bounds; an empty layer gives no rows; an unknown layer is an error. Layer columns
+    option("columns", "a, b") reads only those of the layer's columns, option("where", "a IN (1, 2)") only the rows that meet
+    a condition of the file's SQL; both reach the file. Null or empty geometries have null bounds; an empty layer gives no rows; an unknown layer is an error. Layer columns
     must not be called like the five added ones.
     """
 
@@ -104,20 +106,30 @@ class GeoPackageSource(DataSource):
             if not found:
                 raise ValueError(f"no layer {layer}")
             columns = c.execute(f"PRAGMA table_info({_quoted(layer)})").fetchall()
+        chosen = [c.strip() for c in self.options["columns"].split(",")] if "columns" in self.options else None
+        if chosen and (lacking := set(chosen) - {c[1] for c in columns}):
+            raise ValueError(f"layer {layer} lacks column(s) {', '.join(sorted(lacking))}")
+        if chosen:
+            columns = [c for c in columns if c[1] in chosen]
         fields = [StructField(n, _KINDS.get(t.upper().split("(")[0], StringType())) for _, n, t, *_ in columns if n != found[0]]
         return StructType([*fields, StructField("wkb", BinaryType()), *[StructField(n, DoubleType()) for n in ("min_x", "min_y", "max_x", "max_y")]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return Reader(schema, dict(self.options))
 
-    @staticmethod
-    def write_boxes(path: str, layer: str, rows: list[tuple]) -> None:
+    @classmethod
+    def write_boxes(cls, path: str, layer: str, rows: list[tuple]) -> None:
         """A layer of boxes (hybas_id, continent, min_x, min_y, max_x, max_y); for small layers, on the driver."""
+        ring = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        cls.write_polygons(path, layer, [(i, continent, [ring(*box)]) for i, continent, *box in rows])
+
+    @staticmethod
+    def write_polygons(path: str, layer: str, rows: list[tuple]) -> None:
+        """A layer of polygons (hybas_id, continent, rings of (x, y), closed); for small layers, on the driver."""
         with sqlite3.connect(path) as c:
             c.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER)")
             c.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', 4326, 0, 0)", (layer,))
             c.execute(f"CREATE TABLE {_quoted(layer)} (fid INTEGER PRIMARY KEY, geom BLOB, hybas_id INTEGER, continent TEXT)")
-            for k, (i, continent, *box) in enumerate(rows):
-                ring = [(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3]), (box[0], box[1])]
-                wkb = struct.pack("<BIII", 1, 3, 1, 5) + b"".join(struct.pack("<dd", *p) for p in ring)
+            for k, (i, continent, rings) in enumerate(rows):
+                wkb = struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
                 c.execute(f"INSERT INTO {_quoted(layer)} VALUES (?, ?, ?, ?)", (k + 1, b"GP\0\1" + struct.pack("<i", 4326) + wkb, i, continent))
