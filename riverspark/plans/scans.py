@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riverspark.plans.base import Catalog, basins, dams, dim, layer, settled, table, units
 from riverspark.session import shared_folder
+from riverspark.sources.voc import voc_documents, voc_objects
 from riverspark.sources.config import parse_flag, scenario_rows
 from riverspark.sources.geopackage import GeoPackageSource
 from riverspark.sources.layers import layer_overview, load_layers
@@ -191,6 +192,21 @@ def src19_voc_xml(spark, d):
     return x.selectExpr("doc_id", "pos", "xpath_string(xml, 'annotation/object/name') AS dam_type", *[f"xpath_double(xml, 'annotation/object/bndbox/{c}') AS {c}" for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
+@C.add("WITH " + OBB + """, m AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS place, pos % 2 = 1 AS turned, dam_type AS name, least(x1, x2, x3, x4) AS a, least(y1, y2, y3, y4) AS b, greatest(x1, x2, x3, x4) AS c, greatest(y1, y2, y3, y4) AS d FROM ob),
+h AS (SELECT *, (a + c) / 2 AS cx, (b + d) / 2 AS cy, (c - a) / 2 AS w, (d - b) / 2 AS h FROM m)
+SELECT doc_id, place, CASE WHEN turned THEN 'robndbox' ELSE 'bndbox' END AS type, name, round(CASE WHEN turned THEN cx - w * cos(0.5::DOUBLE) + h * sin(0.5::DOUBLE) ELSE a END, 4) AS x1, round(CASE WHEN turned THEN cy - w * sin(0.5::DOUBLE) - h * cos(0.5::DOUBLE) ELSE b END, 4) AS y1,
+  round(CASE WHEN turned THEN cx + w * cos(0.5::DOUBLE) - h * sin(0.5::DOUBLE) ELSE c END, 4) AS x3, round(CASE WHEN turned THEN cy + w * sin(0.5::DOUBLE) + h * cos(0.5::DOUBLE) ELSE d END, 4) AS y3 FROM h""")
+def src19_voc_objects(spark, d):
+    """Documents of several objects, every second box turned by half a radian, written as annotation XML and read back."""
+    b = obb_tokens(annotation_lines(spark, d), "line")
+    num = lambda i: F.col("t")[i].cast("double")
+    xs, ys = [num(i) for i in (0, 2, 4, 6)], [num(i) for i in (1, 3, 5, 7)]
+    o = b.select("doc_id", "pos", F.col("t")[8].alias("name"), F.lit(0).alias("truncated"), F.lit(0).alias("difficult"), F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
+    mid, size = (lambda lo, hi: (F.col(lo) + F.col(hi)) / 2), (lambda lo, hi: F.col(hi) - F.col(lo))
+    o = o.withColumns({"cx": mid("xmin", "xmax"), "cy": mid("ymin", "ymax"), "w": size("xmin", "xmax"), "h": size("ymin", "ymax"), "angle": F.when(F.col("pos") % 2 == 1, 0.5)})
+    return voc_objects(voc_documents(o, "doc_id", "pos")).select("doc_id", "place", "type", "name", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x3", "y3")])
+
+
 @C.add("WITH " + LINES + " SELECT doc_id, pos, k[9] AS label, CAST(k[10] AS INT) AS difficult FROM tk WHERE len(k) IN (9, 10)")
 def src20_dota_reader(spark, d):
     """Lines of nine or ten tokens as labels with a flag; others are skipped."""

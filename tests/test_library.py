@@ -56,6 +56,22 @@ def test_config():
     assert scenario_rows([{"scenario_name": "a", "indicator_1": "X", "weight_1": 1, "csi_thresh": 9, "to_process": 0}]) == []
 
 
+def test_annotation_xml(spark):
+    from riverspark.sources.voc import voc_documents, voc_objects
+
+    o = spark.createDataFrame(
+        [(1, 0, "a<b", 0, 1, 1.0, 2.0, 5.0, 4.0, None, None, None, None, None), (1, 1, "dam & lake", 1, 0, None, None, None, None, 10.0, 10.0, 4.0, 2.0, math.pi / 2), (2, 0, None, 0, 0, 0.0, 0.0, 1.0, 1.0, None, None, None, None, None)],
+        "doc int, pos int, name string, truncated int, difficult int, xmin double, ymin double, xmax double, ymax double, cx double, cy double, w double, h double, angle double",
+    )
+    whole = voc_documents(o, "doc", "pos").unionByName(spark.createDataFrame([(3, "<annotation></annotation>"), (4, None), (5, "<annotation><object><name>x</name></object></annotation>")], "doc int, xml string"))
+    got = {(r["doc"], r["place"]): r for r in voc_objects(whole).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0), (5, 0)}
+    r, q = got[1, 0], got[1, 1]
+    assert (r["type"], r["name"], r["difficult"]) == ("bndbox", "a<b", 1) and [r[f"{c}{k}"] for k in range(1, 5) for c in "xy"] == [1, 2, 5, 2, 5, 4, 1, 4]
+    assert (q["type"], q["name"], q["truncated"]) == ("robndbox", "dam & lake", 1) and [q[f"{c}{k}"] for k in range(1, 5) for c in "xy"] == pytest.approx([11, 8, 11, 12, 9, 12, 9, 8])
+    assert got[5, 0]["x1"] is None and voc_objects(whole.limit(0)).count() == 0
+
+
 def test_geopackage_and_shapefile(spark, tmp_path):
     from riverspark.sources.geopackage import GeoPackageSource, bounds
     from riverspark.sources.shapefile import ShapefileSource
@@ -68,6 +84,8 @@ def test_geopackage_and_shapefile(spark, tmp_path):
     assert rows(g.select("hybas_id", "continent", "min_x", "min_y", "max_x", "max_y")) == sorted(boxes, key=repr) and g.rdd.getNumPartitions() == 4
     with pytest.raises(Exception, match="no layer"):
         spark.read.format("geopackage").option("layer", "none").load(str(tmp_path / "a.gpkg")).count()
+    few = spark.read.format("geopackage").options(layer="odd layer", columns="hybas_id", where="hybas_id IN (1, 2)").load(str(tmp_path / "a.gpkg"))
+    assert "continent" not in few.columns and {r["hybas_id"] for r in few.collect()} == {1, 2} & {b[0] for b in boxes}
     assert bounds(bytes.fromhex("0101000000000000000000f03f0000000000000040")) == (1.0, 2.0, 1.0, 2.0)
     pts = [(k, k * 0.5, -k * 2.0) for k in range(30)]
     ShapefileSource.write_points(str(tmp_path / "p.shp"), "id", pts)
