@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_SHARE, SALTS = 0.002, 32
+#: A key that holds more of all rows than this is heavy; its salts are so many at least, and one for each ROWS_A_SALT of its rows.
+HEAVY_SHARE, SALTS, ROWS_A_SALT = 0.002, 32, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -29,15 +30,22 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """The keys that hold more than share of all rows: at most 1/share rows, whatever the input."""
+def heavy_counts(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
+    """The keys that hold more than share of all rows, and their rows as _n: at most 1/share rows, whatever the input."""
     counts = key_counts(df, keys)
     total = counts.agg(F.sum("_n").alias("_all"))
-    return counts.where(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
+    return counts.where(F.col("_n") > total.scalar() * F.lit(share))
+
+
+def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
+    """The keys of heavy_counts."""
+    return heavy_counts(df, keys, share).select(*keys)
 
 
-def _flagged(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
-    marks = heavy.select(*[F.col(k).alias(f"__rs_h{i}") for i, k in enumerate(keys)], F.lit(True).alias("__rs_heavy"))
+def _flagged(df: DataFrame, heavy: DataFrame, keys: list[str], salts: int) -> DataFrame:
+    """df with __rs_salts: over how many tasks a heavy key's rows are spread, null for other keys."""
+    many = F.greatest(F.lit(salts), F.ceil(F.col("_n") / F.lit(ROWS_A_SALT))).cast("int")
+    marks = heavy.select(*[F.col(k).alias(f"__rs_h{i}") for i, k in enumerate(keys)], many.alias("__rs_salts"))
     on = [F.col(k).eqNullSafe(F.col(f"__rs_h{i}")) for i, k in enumerate(keys)]
     return df.join(F.broadcast(marks), on, "left").drop(*[f"__rs_h{i}" for i in range(len(keys))])
 
@@ -78,8 +86,8 @@ def salted_aggregate(df: DataFrame, keys: list[str], measures: Mapping[str, Meas
     chosen = measures[distinct[0]].value if distinct else (F.col(unit) if unit else F.struct(*[F.col(c) for c in df.columns]))
     names = [f"_k{i}" for i in range(len(keys))]
     values = {n: m.value for n, m in measures.items() if m.value is not None}
-    slim = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], *[v.alias(f"_v_{n}") for n, v in values.items()], F.pmod(F.xxhash64(chosen), F.lit(salts)).cast("int").alias("_s"))
-    spread = _flagged(slim, heavy_keys(slim, names, share), names).withColumn("__rs_salt", F.when(F.col("__rs_heavy"), F.col("_s")).otherwise(F.lit(-1)))
+    slim = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], *[v.alias(f"_v_{n}") for n, v in values.items()], F.xxhash64(chosen).alias("_s"))
+    spread = _flagged(slim, heavy_counts(slim, names, share), names, salts).withColumn("__rs_salt", F.coalesce(F.pmod("_s", F.col("__rs_salts")).cast("int"), F.lit(-1)))
     bound = {n: Measure(m.kind, F.col(f"_v_{n}") if m.value is not None else None) for n, m in measures.items()}
     partial, merge = {}, {}
     for n, m in bound.items():
@@ -117,15 +125,15 @@ def merge_partials(name: str, m: Measure) -> dict[str, Column]:
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = HEAVY_SHARE, salts: int = SALTS) -> DataFrame:
     """left joined to right on keys, where left may hold a third of its rows under one key.
 
-    Rows of left's heavy keys are spread over `salts` tasks; only right's rows of those keys (they are few: at most
-    1/share keys) are repeated once a salt. how: inner, left, left_semi or left_anti. Null keys match nothing. right's
-    other columns must not clash with left's names.
+    Rows of left's heavy keys are spread over `salts` tasks, or more where a key has more than that many times
+    ROWS_A_SALT; only right's rows of those keys (they are few: at most 1/share keys) are repeated once a salt. how: inner,
+    left, left_semi or left_anti. Null keys match nothing. right's other columns must not clash with left's names.
     """
     if clash := (set(left.columns) & set(right.columns)) - set(keys):
         raise ValueError(f"both sides have {sorted(clash)}")
-    heavy = heavy_keys(left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, share)
-    of_row = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    a = _flagged(left, heavy, keys).withColumn("__rs_salt", F.when(F.col("__rs_heavy"), of_row).otherwise(F.lit(0))).drop("__rs_heavy")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    b = _flagged(right, heavy, keys).withColumn("__rs_salt", F.explode(F.when(F.col("__rs_heavy"), every).otherwise(F.array(F.lit(0))))).drop("__rs_heavy")
+    heavy = heavy_counts(left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, share)
+    of_row = F.xxhash64(*[F.col(c) for c in left.columns])
+    a = _flagged(left, heavy, keys, salts).withColumn("__rs_salt", F.coalesce(F.pmod(of_row, F.col("__rs_salts")).cast("int"), F.lit(0))).drop("__rs_salts")
+    every = F.when(F.col("__rs_salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__rs_salts") - 1))
+    b = _flagged(right, heavy, keys, salts).withColumn("__rs_salt", F.explode(every)).drop("__rs_salts")
     return a.join(b, [*keys, "__rs_salt"], how).drop("__rs_salt")
