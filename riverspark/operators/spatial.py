@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverspark.functions.geometry import haversine_km, segment_meets_box
+from riverspark.functions.geometry import EARTH_KM, haversine_km, segment_meets_box
 from riverspark.operators.skew import salted_join
+from riverspark.session import cut
+
+#: Places of one cube of the first search in knn.
+LOAD = 64
 
 
 def _cells(lo: Column, hi: Column, cell: float) -> Column:
@@ -49,7 +55,7 @@ def overlaps(a: DataFrame, b: DataFrame, by: list[str], cell: float) -> DataFram
     ga = on_grid(a.select(*by, F.col("id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]), "a_xmin", "a_ymin", "a_xmax", "a_ymax", cell)
     gb = on_grid(b.select(*by, F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]), "b_xmin", "b_ymin", "b_xmax", "b_ymax", cell)
     hit = (F.col("a_xmin") < F.col("b_xmax")) & (F.col("b_xmin") < F.col("a_xmax")) & (F.col("a_ymin") < F.col("b_ymax")) & (F.col("b_ymin") < F.col("a_ymax"))
-    return ga.join(gb, [*by, "gx", "gy"]).where(hit).select(*by, "a_id", "b_id").distinct()
+    return salted_join(ga, gb, [*by, "gx", "gy"]).where(hit).select(*by, "a_id", "b_id").distinct()
 
 
 def nearest_regions(points: DataFrame, regions: DataFrame, pid: str, x: str, y: str, key: str) -> DataFrame:
@@ -79,30 +85,39 @@ def nearest_regions(points: DataFrame, regions: DataFrame, pid: str, x: str, y:
 def knn(places: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """(by, i, j, d, w): the k nearest other places (id, lon, lat) of each by great-circle distance, row-standardised weights.
 
-    min(k, n-1) neighbours of a group of n; equal distances: the lower id. Places of a group are searched in rings of
-    bands of latitude: a place meets those of its own and neighbouring bands first, and only places whose k-th distance
-    reaches beyond those bands are searched again over twice as many, until none is left.
+    min(k, n-1) neighbours of a group of n; equal distances: the lower id. Places are points of the unit sphere in a grid of
+    cubes, so neither poles nor the date line are special. The first cubes are so small that none holds more than LOAD
+    places (or as small as useful). A place meets those of its own and the 26 neighbouring cubes; what lies outside is
+    further away than a cube's side. Places whose k-th neighbour isn't closer than that are searched again with cubes
+    twice as large, until none is left.
     """
     by = by or []
-    p = places.where("lon IS NOT NULL AND lat IS NOT NULL").select(*by, "id", "lon", "lat").distinct()
+    p = places.where("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)").select(*by, "id", "lon", "lat").distinct()
+    flat = F.cos(F.radians("lat"))
+    p = cut(p.withColumns({"_x": flat * F.cos(F.radians("lon")), "_y": flat * F.sin(F.radians("lon")), "_z": F.sin(F.radians("lat"))}), "places")
     sizes = p.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else p.agg(F.count(F.lit(1)).alias("_n"))
-    p = p.join(F.broadcast(sizes), by) if by else p.join(F.broadcast(sizes), F.lit(True))
-    done, width, todo = None, 11.25, p
+    todo = p.join(F.broadcast(sizes), by) if by else p.join(F.broadcast(sizes), F.lit(True))
+    cube = lambda size: [F.floor(F.col(c) / F.lit(size)).cast("int").alias(f"_c{c}") for c in ("_x", "_y", "_z")]
+    cells = ["_c_x", "_c_y", "_c_z"]
+    side = 1.0
+    while side > 1e-5 and (p.select(*by, *cube(side)).groupBy(*by, *cells).count().agg(F.max("count")).first()[0] or 0) > max(LOAD, 8 * k):
+        side /= 2
+    done = None
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     while True:
-        a = todo.select(*by, F.col("id").alias("i"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "_n", F.explode(F.expr("sequence(-1, 1)")).alias("_o")).withColumn("_band", F.floor(F.col("y1") / F.lit(width)) + F.col("_o")).drop("_o")
-        b = p.select(*by, F.col("id").alias("j"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), F.floor(F.col("lat") / F.lit(width)).alias("_band"))
-        c = a.join(b, [*by, "_band"]).where("i <> j").withColumn("d", haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+        near = todo.select(*by, F.col("id").alias("i"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), "_n", *cube(side), F.explode(around).alias("_o"))
+        near = near.select(*by, "i", "x1", "y1", "_n", *[(F.col(c) + F.col(f"_o.{o}")).alias(c) for c, o in zip(cells, "abc")])
+        other = p.select(*by, F.col("id").alias("j"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), *cube(side))
+        c = near.join(other, [*by, *cells]).where("i <> j").withColumn("d", haversine_km(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
         r = c.withColumn("r", F.row_number().over(Window.partitionBy(*by, "i").orderBy("d", "j"))).where(F.col("r") <= k)
-        # a place outside the bands is at least a band's width away in latitude, less the place's own distance to its band's edge
         most = Window.partitionBy(*by, "i")
         r = r.withColumn("_got", F.count(F.lit(1)).over(most)).withColumn("_far", F.max("d").over(most))
-        whole = width >= 180
-        sure = F.lit(True) if whole else (F.col("_got") == F.least(F.lit(k), F.col("_n") - 1)) & (F.col("_far") < F.lit(width * 111.19))
-        good = r.where(sure).select(*by, "i", "j", "d")
+        whole = side >= 2
+        sure = F.lit(True) if whole else (F.col("_got") == F.least(F.lit(k), F.col("_n") - 1)) & (F.col("_far") < F.lit(2 * EARTH_KM * math.asin(side / 2)))
+        good = cut(r.where(sure).select(*by, "i", "j", "d"), "neighbours")
         done = good if done is None else done.unionByName(good)
-        if whole:
+        todo = cut(todo.join(good.select(*by, F.col("i").alias("id")).distinct(), [*by, "id"], "left_anti"), "lonely")
+        if whole or todo.isEmpty():
             break
-        left = todo.join(good.select(*by, F.col("i").alias("id")).distinct(), [*by, "id"], "left_anti")
-        width *= 4
-        todo = left
+        side *= 2
     return done.withColumn("w", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*by, "i")))

@@ -278,13 +278,14 @@ def jon25_spatial_lag(spark, d):
 _BOX = OBB + ", bx AS (SELECT doc_id, pos, least(x1,x2,x3,x4) AS xmin, least(y1,y2,y3,y4) AS ymin, greatest(x1,x2,x3,x4) AS xmax, greatest(y1,y2,y3,y4) AS ymax FROM ob)"
 
 
-@C.add("WITH " + _BOX + " SELECT a.doc_id * 100 + a.pos AS a_id, b.doc_id * 100 + b.pos AS b_id FROM bx a JOIN bx b ON a.doc_id % 7 = b.doc_id % 7 AND a.doc_id < b.doc_id AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax")
+@C.add("WITH " + _BOX + ", bg AS (SELECT bx.*, hybas_id AS g, year(collected_at) AS yr FROM bx JOIN documents USING (doc_id)) SELECT a.doc_id AS a_doc, a.pos AS a_pos, b.doc_id AS b_doc, b.pos AS b_pos FROM bg a JOIN bg b ON a.g = b.g AND a.yr < b.yr AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax")
 def jon26_box_overlaps(spark, d):
-    """Overlapping boxes of different documents of a group."""
-    c = corners(spark, d)
+    """Boxes of a basin that overlap one of a later year."""
+    c = corners(spark, d).join(table(spark, d, "documents").where("hybas_id IS NOT NULL").select("doc_id", F.col("hybas_id").alias("g"), F.year("collected_at").alias("yr")), "doc_id")
     xs, ys = [f"x{i}" for i in range(1, 5)], [f"y{i}" for i in range(1, 5)]
-    b = c.select((F.col("doc_id") % 7).alias("g"), (F.col("doc_id") * 100 + F.col("pos")).alias("id"), F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
-    return overlaps(b, b, ["g"], 100.0).where(F.floor(F.col("a_id") / 100) < F.floor(F.col("b_id") / 100)).select("a_id", "b_id")
+    b = c.select("g", F.struct("doc_id", "pos", "yr").alias("id"), F.least(*xs).alias("xmin"), F.least(*ys).alias("ymin"), F.greatest(*xs).alias("xmax"), F.greatest(*ys).alias("ymax"))
+    met = overlaps(b, b, ["g"], 100.0).where(F.col("a_id.yr") < F.col("b_id.yr"))
+    return met.select(F.col("a_id.doc_id").alias("a_doc"), F.col("a_id.pos").alias("a_pos"), F.col("b_id.doc_id").alias("b_doc"), F.col("b_id.pos").alias("b_pos"))
 
 
 @C.add("WITH " + RASTER + ", z(zone, lo, hi) AS (VALUES ('south', -90, -30), ('middle', -30, 30), ('north', 30, 91)) SELECT zone, CAST(sum(n) AS BIGINT) AS n FROM rs JOIN z ON 90 - row * (180.0::DOUBLE / 89) >= lo AND 90 - row * (180.0::DOUBLE / 89) < hi GROUP BY 1", "da")
