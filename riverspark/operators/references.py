@@ -66,7 +66,7 @@ def orphan_cascade(tables: Mapping[str, DataFrame], keys: list[ForeignKey], max_
     parents, children = {k.parent for k in keys}, {k.child for k in keys}
     if both := parents & children:  # read many times: written once, with what is needed of them
         used = {t: sorted({k.ref for k in keys if k.child == t} | {k.own for k in keys if k.parent == t}) for t in both}
-        tables = {t: cut(df.select("rec_id", "period", "valid_from", "valid_to", *[c for c in used[t] if c not in ("rec_id", "period")]), "table") if t in both else df for t, df in tables.items()}
+        tables = {t: cut(df.select("rec_id", "period", "valid_from", "valid_to", *[c for c in used[t] if c not in ("rec_id", "period", "valid_from", "valid_to")]), "table") if t in both else df for t, df in tables.items()}
 
     def refs(k: ForeignKey) -> DataFrame:
         return tables[k.child].where(F.col(k.ref).isNotNull()).select("period", _period(), "rec_id", F.col(k.ref).alias("ref"))
