@@ -140,15 +140,17 @@ def _doubled_records(links: DataFrame, first: DataFrame) -> DataFrame:
     record, above = ["_t", "rec_id", "_p"], ["_table", "_parent", "_p"]
     seen, length = first, 1
     jumps = links.select("_t", "rec_id", *above).join(first.select(record), record, "left_anti")
+    end = lambda df, level, t, r: df.select(F.col("_t").alias("_table"), F.col("rec_id").alias("_parent"), "_p", level.cast("int").alias("level"), t.cast("int").alias("_t2"), r.cast(kind).alias("_r2"))
+    none, kind = F.lit(None), links.schema["_parent"].dataType
     while True:
-        lost = seen.select(F.col("_t").alias("_table"), F.col("rec_id").alias("_parent"), "_p", "level")
-        met = cut(jumps.join(lost, above, "left"), "links")
+        # where a link ends: at an orphan, or at a record with a link of its own, which lengthens it; else the chain is sound
+        ends = end(seen, F.col("level"), none, none).unionByName(end(jumps, none, F.col("_table"), F.col("_parent")))
+        met = cut(jumps.join(ends, above).select(*record, "level", F.col("_t2").alias("_table"), F.col("_r2").alias("_parent")), "links")
         new = met.where("level IS NOT NULL").select(*record, (F.col("level") + length).cast("int").alias("level"))
         if new.isEmpty():  # a record further away would have an ancestor at this distance
             return seen
         seen, length = seen.unionByName(new), length * 2
-        further = jumps.select(F.col("_t").alias("_table"), F.col("rec_id").alias("_parent"), "_p", F.col("_table").alias("_t2"), F.col("_parent").alias("_p2"))
-        jumps = cut(met.where("level IS NULL").join(further, above).select(*record, F.col("_t2").alias("_table"), F.col("_p2").alias("_parent")), "links")
+        jumps = met.where("level IS NULL").select(*record, "_table", "_parent")
 
 
 def _records_by_level(edges: list[tuple[ForeignKey, DataFrame, DataFrame]], first: DataFrame, shaped, max_rounds: int) -> tuple[DataFrame, DataFrame]:
