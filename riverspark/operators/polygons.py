@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riverspark.functions.geometry import hull
 from riverspark.operators.skew import salted_join
 from riverspark.operators.spatial import on_grid
 
@@ -128,22 +129,6 @@ def lines_within(segments: DataFrame, edges: DataFrame, key: str, cell: float) -
     return a.distinct().join(crossings(segments, edges, key, cell), ["sid", key], "left_anti")
 
 
-def hull(p: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull of points, counter-clockwise from the lowest x, without those on its edges."""
-    p = np.unique(p, axis=0)
-    if len(p) < 3:
-        return p
-    half = []
-    for q in (p, p[::-1]):
-        line: list[np.ndarray] = []
-        for c in q:
-            while len(line) > 1 and (line[-1][0] - line[-2][0]) * (c[1] - line[-2][1]) <= (line[-1][1] - line[-2][1]) * (c[0] - line[-2][0]):
-                line.pop()
-            line.append(c)
-        half += line[:-1]
-    return np.array(half)
-
-
 def hulls(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, ax, ay, bx, by): the edges of the convex hull of each group's points; one edge without length for a single place.
 
