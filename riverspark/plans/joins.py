@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riverspark.operators.nearest import nearest_segments
 from riverspark.operators.network import dense_ids
 from riverspark.operators.proximity import near_pairs
 from riverspark.operators.skew import salted_join
@@ -95,8 +96,12 @@ def _nearest_sql(where: str) -> str:
 m AS (SELECT dam_id, min({{'d': d, 'g': goid}}) AS m FROM q {{cap}} GROUP BY 1)"""
 
 
+def _shapes(r: DataFrame) -> DataFrame:
+    return r.select(F.col("goid").alias("sid"), F.col("from_x").alias("ax"), F.col("from_y").alias("ay"), F.col("to_x").alias("bx"), F.col("to_y").alias("by"))
+
+
 def _river_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return reaches(spark, d).select(F.col("goid").alias("sid"), F.col("from_x").alias("ax"), F.col("from_y").alias("ay"), F.col("to_x").alias("bx"), F.col("to_y").alias("by"))
+    return _shapes(reaches(spark, d))
 
 
 @C.add(_nearest_sql("y BETWEEN least(from_y, to_y) - 5000 AND greatest(from_y, to_y) + 5000").replace("{cap}", "WHERE d <= 5000") + " SELECT dam_id, coalesce(m.g, -1) AS goid, coalesce(round(m.d + 1e-6, 3), -1) AS distance FROM da LEFT JOIN m USING (dam_id)", "da re")
@@ -110,17 +115,10 @@ def jon7_nearest_reach(spark, d):
 
 @C.add(_nearest_sql("true").replace("{cap}", "") + " SELECT dam_id, m.g AS goid, round(m.d + 1e-6, 3) AS distance FROM m", "da re")
 def jon8_nearest_reach_any_distance(spark, d):
-    """The nearest reach however far: reach and strips widen for those without one, so candidates stay few."""
-    left = dams(spark, d).where("x IS NOT NULL").select(F.col("dam_id").alias("pid"), "x", "y")
-    shapes, reach, out = _river_shapes(spark, d), 20_000.0, None
-    while reach < 1e8:
-        got = near_pairs(left, shapes, reach, strip=reach * 4)
-        out = got if out is None else out.unionByName(got)
-        left = left.join(got.select("pid"), "pid", "left_anti")
-        if left.isEmpty():
-            break
-        reach *= 8
-    return out.select(F.col("pid").alias("dam_id"), F.col("sid").alias("goid"), settled("distance", 3).alias("distance"))
+    """The nearest reach however far; repeated rows of dams and reaches don't matter to the nearest."""
+    p = table(spark, d, "dams").select(F.col("dam_id").alias("pid"), "x", "y")
+    near = nearest_segments(p, _shapes(table(spark, d, "reaches")))
+    return near.select(F.col("pid").alias("dam_id"), F.col("sid").alias("goid"), settled("distance", 3).alias("distance"))
 
 
 @C.add("WITH m AS (SELECT b.hybas_id, d.dam_id, sqrt(power(d.x - (min_x + max_x) / 2, 2) + power(d.y - (min_y + max_y) / 2, 2)) AS dist FROM da d JOIN basins b ON d.hybas_id = b.hybas_id WHERE d.x IS NOT NULL) SELECT hybas_id, m.i AS dam_id FROM (SELECT hybas_id, min({'d': dist, 'i': dam_id}) AS m FROM m GROUP BY 1)", "da")
