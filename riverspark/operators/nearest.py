@@ -22,7 +22,7 @@ from riverspark.operators.proximity import usable
 from riverspark.session import cut
 
 #: Segments of a tile, and tiles beyond which they hold more; segments of a block; a tile's points that stay together.
-TILE, TILES, BLOCK, LOT = 1024, 16_384, 32, 50_000
+TILE, TILES, BLOCK, LOT = 4_096, 16_384, 32, 20_000
 #: Segments so many times longer than the median have tiles of their own, as they would widen those of others.
 LONG = 64
 #: Points taken at once, and pairs measured at once.
@@ -77,7 +77,10 @@ class _Tiles:
     def first(self, p: np.ndarray) -> np.ndarray:
         """The tile in which to measure first."""
         low, high = _limits(p[:, :1], p[:, 1:], self.groups.T)
-        near = low <= self.wide(p, np.sqrt(high.min(axis=1)))[:, None]
+        # the tiles of the best group limit the distance closer than the groups do
+        t = np.minimum(high.argmin(axis=1)[:, None] * self.size + np.arange(self.size), len(self.ids) - 1)
+        most = _limits(p[:, :1], p[:, 1:], self.boxes[t].transpose(2, 0, 1))[1].min(axis=1)
+        near = low <= self.wide(p, np.sqrt(most))[:, None]
         if len(p) > 1 and near.sum() * self.size > 256 * PAIRS:
             return np.concatenate([self.first(h) for h in np.array_split(p, 2)])
         i, t = self._open(near)
@@ -136,10 +139,10 @@ class _Tile:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _nearest(self, p, most, wide, start):
-        low, high = _limits(p[:, :1], p[:, 1:], self.boxes.T)
+        low = _limits(p[:, :1], p[:, 1:], self.boxes.T, False)[0]
         own = np.flatnonzero(low.min(axis=1) <= wide(p, most))
-        p, most, low, high = p[own], most[own], low[own], high[own]
-        block = high.argmin(axis=1)
+        p, most, low = p[own], most[own], low[own]
+        block = _limits(p[:, :1], p[:, 1:], self.boxes.T)[1].argmin(axis=1) if np.isinf(most).any() else low.argmin(axis=1)
         d, s = self._measure(p, block)
         more = low <= wide(p, np.minimum(d, most))[:, None]
         more[np.arange(len(p)), block] = False
